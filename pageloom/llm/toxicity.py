@@ -6,7 +6,8 @@ with each identity term swapped for another of its kind, and the squared change
 of the log odds is penalised: the model can't lean on who is mentioned.
 
 Features are counted in Spark over a sample of at most about TRAIN_ROWS labelled
-texts, drawn by a hash of the id; the FEATURES that tell most (G test) are kept,
+texts, drawn by a hash of the id; of those that tell more than LEAST_TOLD (G
+test), the FEATURES that tell most are kept,
 and the sample's feature lists, not its texts, come to the driver for the fit.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, importable, table
 
-TRAIN_ROWS, FEATURES, LEAST_TEXTS, BEGINNINGS = 20_000, 2048, 4, (4, 5, 6)
+TRAIN_ROWS, FEATURES, LEAST_TEXTS, LEAST_TOLD, BEGINNINGS = 20_000, 2048, 4, 6.0, (4, 5, 6)
 STEPS, RATE, RIDGE, SWAP = 400, 0.1, 2e-4, 1.0
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
@@ -77,7 +78,7 @@ def chosen_features(sample: DataFrame, most: int = FEATURES) -> list[str]:
         return F.when(have > 0, have * F.log(have / (of * rate))).otherwise(0.0) + F.when(have < of, (of - have) * F.log((of - have) / (of * (1 - rate)))).otherwise(0.0)
 
     told = found.where(rate < 1).withColumn("g", part(F.col("a"), n["clean"]) + part(F.col("b"), n["toxic"]))
-    top = [r["feature"] for r in told.orderBy(F.desc("g"), "feature").limit(most).collect()]
+    top = [r["feature"] for r in told.where(F.col("g") >= LEAST_TOLD).orderBy(F.desc("g"), "feature").limit(most).collect()]
     return sorted({*top, *COUNTERPART})
 
 

@@ -1,68 +1,89 @@
 """Whole texts to token ids, remembering the ids of words already seen.
 
-A text is cut where no token can cross (see CUTS); every distinct piece goes
-through the tokenizers library once per worker and batch of misses.  Texts with
-white space beyond ASCII are encoded in one call, because there the cut rules
-of the library and of `re` could differ.
+Texts in Latin script are cut into the same pieces as the tokenizer's own rule
+makes (see RULES), and a piece that is new to the worker goes through the
+tokenizer's model once.  Any other text is encoded in one call, so no rule here
+has to know the letters of other scripts.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
-#: "word": white space is dropped and ends every token; "byte": a run of white
-#: space belongs to the word that follows it.
-CUTS = {"word": re.compile(r"[^ \t-\r]+"), "byte": re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")}
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-MOST_WORDS, LONGEST_WORD = 500_000, 64
+# Letters and numbers below U+0250, and the cut rules over them.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+RULES = {
+    "word": re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^ \t-\r{LETTERS}{NUMBERS}]+"),
+    "byte": re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^ \t-\r{LETTERS}{NUMBERS}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"),
+}
+#: White space beyond ASCII, a capital that lower-cases to two characters, and other scripts.
+OTHER = re.compile("[^\x00-\x1b -\x84\x86-\x9f¡-įı-ɏ‐-‧€™]")
+MOST_PIECES, LONGEST_PIECE = 500_000, 48
 
 _loaded: dict = {}
 
 
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level models."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
-    def __init__(self, path: str, cut: str):
+    """texts -> ids as little-endian unsigned 32-bit integers.
+
+    rule: "word" for a tokenizer that lower-cases and drops white space, "byte"
+    for one that keeps every byte.
+    """
+
+    def __init__(self, path: str, rule: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.known = CUTS[cut], {}
+        self.model, self.known = self.tokenizer.model, {}
+        self.cut, self.lower, self.letters = RULES[rule].findall, rule == "word", byte_letters()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece.encode().decode("latin1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > MOST_PIECES:
             self.known.clear()
-        known, pieces, whole = self.known, [], {}
+        known, out, whole, long = self.known, [], {}, []
         for i, text in enumerate(texts):
-            if OTHER_SPACE.search(text):
+            if OTHER.search(text):
                 whole[i] = text
-                pieces.append([])
-            else:
-                pieces.append(self.cut.findall(text))
-        new = list(set().union(*pieces) - known.keys()) if pieces else []
-        fresh = dict(zip(new, self._library(new), strict=True))
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
-        for w in fresh:
-            if len(w) > LONGEST_WORD:
-                del known[w]
+                out.append(b"")
+                continue
+            pieces = self.cut(text.lower() if self.lower else text)
+            for p in set(pieces).difference(known):
+                known[p] = self._piece(p)
+                if len(p) > LONGEST_PIECE:
+                    long.append(p)
+            out.append(b"".join(map(known.__getitem__, pieces)))
+        for p in long:
+            known.pop(p, None)
         for i, ids in zip(whole, self._library(list(whole.values())), strict=True):
             out[i] = ids
         return out
 
 
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str, rule: str) -> Encoder:
     """One encoder per worker process and file; its memory is bounded."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, cut) not in _loaded:
-        _loaded[path, cut] = Encoder(path, cut)
-    return _loaded[path, cut]
+    if (path, rule) not in _loaded:
+        _loaded[path, rule] = Encoder(path, rule)
+    return _loaded[path, rule]
 
 
 def vocabulary(name: str) -> str:

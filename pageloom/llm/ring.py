@@ -10,7 +10,8 @@ DataFrame operations only.  Documents arrive in the order of a hash of their id.
 The plan needs counts for each cell (arrival bucket, arc of the ring), a table
 of fixed size whatever the input: the driver walks through it once and writes
 down which ranks of a cell go to which shard, and from which slot on.  A second
-pass ranks each cell's documents and joins that plan.  A group of equal texts,
+pass over the hashed rows (written once, without texts) ranks each cell's
+documents and joins that plan.  A group of equal texts,
 however large, is one arc spread over all arrival buckets.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 SHARDS, VIRTUAL, BUCKETS, PLACES = 8, 16, 256, 1 << 20
 PLAN = "bucket int, arc int, low long, high long, shard int, slot long"
@@ -76,6 +77,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, buckets
         arc_of(F.pmod(F.xxhash64("text", F.lit("text")), F.lit(PLACES)), nodes).cast("int").alias("arc"),
         F.xxhash64("doc_id", F.lit("arrival")).alias("arrival"),
     ).withColumn("bucket", F.pmod("arrival", F.lit(buckets)).cast("int"))
+    keyed = stored(keyed, "ring")
     cells = [tuple(r) for r in keyed.groupBy("bucket", "arc").count().collect()]  # at most buckets * shards * virtual rows
     plan = spark.createDataFrame(fill(cells, clockwise(nodes, shards), shards, sum(n for *_, n in cells)), PLAN)
     cell = Window.partitionBy("bucket", "arc").orderBy("arrival", "doc_id", "text_crc32", "size")

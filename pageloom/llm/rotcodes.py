@@ -29,7 +29,7 @@ from .common import connected_components, finite_vector, importable, stored, tab
 from .simhash import Groups
 
 #: SURE: standard errors allowed for an estimate; REACH: for a cell, of which a pair has two chances.
-THRESHOLD, CELL, SURE, REACH, PLANES = 0.95, 4096, 5.0, 3.5, 4
+THRESHOLD, CELL, BLOCK, SURE, REACH, PLANES = 0.95, 1024, 4096, 5.0, 3.0, 4
 
 
 def rotation(dim: int, number: int) -> np.ndarray:
@@ -64,13 +64,18 @@ class Codes:
     def may_reach(self, asking: "Codes", q: slice, threshold: float) -> np.ndarray:
         """Whether the cosine of rows q of asking and each of these codes may
         reach threshold: (rows of q, codes)."""
-        common = np.zeros((len(asking.low[q]), len(self.low)))
+        common = np.zeros((len(asking.low[q]), len(self.low)), np.uint32)
         for p, plane in enumerate(asking.plane):
-            common += np.bitwise_count(plane[q][:, None, :] & self.sign[None]).sum(axis=2) * float(1 << p)
-        step, low = asking.step[q], asking.low[q]
-        dot = (2 * (common * step + low * self.ones) - (asking.level_sum[q][:, None] * step + low * self.dim)) / np.sqrt(self.dim)
-        error = SURE * np.sqrt((1 - threshold**2) * np.maximum(0, 1 - self.factor**2) / max(1, self.dim - 1)) + asking.rounding[q][:, None]
-        return dot + error >= threshold * self.factor
+            for word in range(self.sign.shape[1]):
+                common += np.bitwise_count(plane[q, word][:, None] & self.sign[:, word]).astype(np.uint32) << np.uint32(p)
+        # sqrt(dim) times the estimate is 2 * (step * common + low * ones) less the sum of the query's parts; everything but
+        # `common` is a product of a query's and a code's terms
+        step, low, wide = asking.step[q], asking.low[q], np.sqrt(self.dim)
+        error = SURE * np.sqrt((1 - threshold**2) * np.maximum(0, 1 - self.factor**2) / max(1, self.dim - 1))
+        level_sum = asking.level_sum[q][:, None] * step + low * self.dim
+        query = np.concatenate([wide / step, -2 * low / step, (level_sum - wide * asking.rounding[q][:, None]) / step], axis=1)
+        code = np.stack([threshold * self.factor - error, self.ones, np.ones(len(self.ones))])
+        return common >= (query @ code / 2).astype(np.float32) * np.float32(1 - 1e-5)
 
 
 def cell_levels(n: int, dim: int, cell: int = CELL) -> list[int]:
@@ -111,7 +116,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
     levels = {dim: cell_levels(n, dim, cell) for dim, n in counts.items()}
 
     def unit_rows(some: pd.DataFrame) -> np.ndarray:
-        x = np.array(some["embedding"].tolist(), np.float64)
+        x = np.stack(some["embedding"].tolist()).astype(np.float64)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +132,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
                     yield out[["cell", "home", "rep", "n", "embedding"]]
 
     spread = stored(classes.mapInPandas(dealt, "cell string, home boolean, rep long, n long, embedding array<float>"), "cells")
-    sizes = spread.groupBy("cell").agg(F.ceil(F.count_if("home") / cell).cast("int").alias("blocks"), F.ceil(F.count("*") / (4 * cell)).cast("int").alias("turns"))
+    sizes = spread.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("turns"))
     # a cell is a grid of blocks of its vectors and turns of those that ask: no group grows with the cell
     placed, draw = spread.join(sizes.where("blocks > 0"), "cell"), F.xxhash64("rep")
     keeps = placed.where("home").select("*", F.lit(True).alias("data"), F.pmod(draw, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))

@@ -45,6 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_numbers(texts) -> list[int | None]:
+    """Ids that came as text: pandas would turn longs beside nulls into doubles."""
+    return [int(t) if isinstance(t, str) else None for t in texts]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, table
+from .common import id_numbers, importable, table
 from .tokens import encoder, vocabulary
 
 LENGTH = 2048
@@ -73,16 +73,17 @@ def cut_pieces(docs: DataFrame, vocab: str, cut: str, end_id: int, length: int =
             rows = []
             for lo in range(0, len(b), 256):
                 some = b.iloc[lo : lo + 256]
-                for doc_id, coded in zip(some["doc_id"].astype(object), encode([t if isinstance(t, str) else "" for t in some["text"]]), strict=True):
+                for doc_id, coded in zip(id_numbers(some["doc_id"]), encode([t if isinstance(t, str) else "" for t in some["text"]]), strict=True):
                     coded += end
                     n, seen = len(coded) // 4, seen + 1
                     for start in range(0, n, length):
                         piece = coded[4 * start : 4 * (start + length)]
-                        rows.append((seen, None if pd.isna(doc_id) else int(doc_id), start, len(piece) // 4, zlib.crc32(piece), n))
-            out = pd.DataFrame(rows, columns=["salt", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
+                        rows.append((seen, doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
+            columns = dict(zip(("salt", "doc_id", "start", "length", "ids_crc32", "doc_tokens"), zip(*rows, strict=True), strict=True)) if rows else {}
+            if columns:
+                yield pd.DataFrame(columns | {"doc_id": pd.array(list(columns["doc_id"]), "Int64")})
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(pieces, PIECES)
 
 
 def pack(docs: DataFrame, vocab: str, cut: str, end_id: int, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -95,13 +96,14 @@ def pack(docs: DataFrame, vocab: str, cut: str, end_id: int, length: int = LENGT
     """
     importable(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
-    grouped = cut_pieces(docs, vocab, cut, end_id, length).withColumn("group", F.pmod(F.xxhash64("salt"), F.lit(groups)))
+    grouped = cut_pieces(docs, vocab, cut, end_id, length).withColumn("group", F.pmod(F.xxhash64("salt"), F.lit(groups))).withColumn("text_id", F.col("doc_id").cast("string")).drop("doc_id")
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "salt"], kind="stable", na_position="first").reset_index(drop=True)
+        rows = rows.sort_values(["text_id", "start", "salt"], kind="stable", na_position="first").reset_index(drop=True)
         at = first_fit_decreasing(rows["length"].tolist(), length)
         rows["sequence_id"] = [(int(key[0]) << 32) + b for b, _ in at]
         rows["offset"] = [o for _, o in at]
+        rows["doc_id"] = pd.array(id_numbers(rows["text_id"]), "Int64")
         return rows[[c.split()[0] for c in PACKED.split(", ")]]
 
     return grouped.groupBy("group").applyInPandas(packed, PACKED)

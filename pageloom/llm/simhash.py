@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, importable, stored, table
+from .common import connected_components, id_numbers, importable, stored, table
 
 SEED, BITS, RADIUS = 42, 2, 2
 SHARD, SAMPLE_PER_SHARD, MOST_SHARDS, BUCKET = 16384, 64, 4096, 128
@@ -49,9 +49,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps})
+            yield pd.DataFrame({"doc_id": pd.array(id_numbers(b["doc_id"]), "Int64"), "fp": fps})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, work_dir
+from .common import id_numbers, table, work_dir
 from .tokens import encoder, vocabulary
 
 MAGIC = b"DAC1"
 SEGMENT_TOKENS = 1 << 20
-SEGMENTS = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<int>, codes binary"
+SEGMENTS = "part int, segment int, n_tokens long, doc_ids array<string>, lengths array<int>, codes binary"
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -108,7 +108,8 @@ def write_codes(docs: DataFrame, path: str, vocab: str, cut: str, end_id: int, s
 
     Documents are dealt out by ranges of doc_id as text, which is smaller than
     ids; a null text is empty, a null doc_id comes first, equal doc_ids stand
-    side by side.  A segment ends with the document that fills it.
+    side by side in the order of a hash of their text, which also lets many rows
+    of one doc_id fill more than one partition.  A segment ends with the document that fills it.
     """
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,9 +122,9 @@ def write_codes(docs: DataFrame, path: str, vocab: str, cut: str, end_id: int, s
         for b in batches:
             for lo in range(0, len(b), 256):
                 some = b.iloc[lo : lo + 256]
-                for doc_id, coded in zip(some["doc_id"].astype(object), encode([t if isinstance(t, str) else "" for t in some["text"]]), strict=True):
+                for doc_id, coded in zip(some["doc_id"], encode([t if isinstance(t, str) else "" for t in some["text"]]), strict=True):
                     n = len(coded) // 4 + 1
-                    ids.append(None if pd.isna(doc_id) else int(doc_id))
+                    ids.append(doc_id if isinstance(doc_id, str) else None)
                     lengths.append(n)
                     parts += [coded, end]
                     size += n
@@ -133,7 +134,7 @@ def write_codes(docs: DataFrame, path: str, vocab: str, cut: str, end_id: int, s
         if ids:
             yield row()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     ordered.mapInPandas(segments, SEGMENTS).write.parquet(path)
 
 
@@ -147,7 +148,7 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                 codes, stops = Codes(data), np.cumsum(lengths)
                 starts = stops - lengths
                 crc = [zlib.crc32(codes.run(int(s), int(e)).astype("<u4").tobytes()) for s, e in zip(starts, stops, strict=True)]
-                yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array(list(ids), "Int64") if any(x is None or x != x for x in ids) else ids, "inside": starts, "n_tokens": lengths, "ids_crc32": crc})
+                yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array(id_numbers(ids), "Int64"), "inside": starts, "n_tokens": lengths, "ids_crc32": crc})
 
     sizes = files.select("part", "segment", "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each written partition

@@ -5,7 +5,9 @@ the lines are summed over a sliding window of BLOCK lines; text begins where the
 sums surge and ends where they dive to nothing, and what stands between is kept.
 Elements that say what they are (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, hidden parts) leave a gap of BLOCK empty lines, so the
-distribution dives there.  If a page marks its article, only that is considered.
+distribution dives there.  If a page marks its article (else its main part), all
+other text counts as a gap, and every stretch left is kept.  Without such a mark, a
+short stretch stays if it stands in the same element as the longest.
 """
 
 from __future__ import annotations
@@ -36,13 +38,16 @@ BOILERPLATE = frozenset(
     "comment comments reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing "
     "social related recommended recommendations widget toolbar pagination pager copyright complementary contentinfo skip".split()
 )
+#: Elements that do not tell one part of a page from another.
+FLOW = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption html body".split())
+ASIDE = frozenset("comment comments reply replies related teaser promo ad sponsored".split())  # what an article may be named without being the article
 CONTENT = frozenset("article main content post entry story body page with without has no wrapper container layout site".split())
 
 
 def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in DROPPED or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "article", "main") or not attributes.strip(" /"):
+    if tag in ("html", "body", "main") or not attributes.strip(" /"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'")).lower()
@@ -50,29 +55,36 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id", "role"):
             for called in value.split():
-                parts = set(re.split(r"[^a-z0-9]+", called))
+                parts = set(named := re.split(r"[^a-z0-9]+", called))
+                if tag == "article":
+                    if named[0] in ASIDE:
+                        return True
+                    continue
                 found = parts & BOILERPLATE - ({"header"} if in_article else set())
                 if called in found or found and not parts & CONTENT:
                     return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, in the article) for each line; empty
+def lines_of(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, characters of it in links, 2 in an article and 1 in the main part,
+    number of the element that holds it, 0 for the page) for each line; empty
     lines are gaps."""
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, int, int]] = []
     stack: list[str] = []
+    numbers: list[int] = []
     text: list[str] = []
-    links = at = 0
+    links = at = opened = 0
     skip = None  # depth at which a dropped element began
 
     def flush(gap: int = 0) -> None:
         nonlocal links
         line = SPACE.sub(" ", html.unescape("".join(text))).strip()
-        inside = "article" in stack or "main" in stack
+        inside = 2 if "article" in stack else int("main" in stack)
         if line:
-            out.append((line, min(links, len(line)), inside))
-        out.extend([("", 0, inside)] * gap)
+            holder = next((n for t, n in zip(reversed(stack), reversed(numbers), strict=True) if t not in FLOW), 0)
+            out.append((line, min(links, len(line)), inside, holder))
+        out.extend([("", 0, inside, 0)] * gap)
         text.clear()
         links = 0
 
@@ -87,7 +99,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal skip
         if any(t not in INLINE for t in stack[depth:]) and skip is None:
             flush()
-        del stack[depth:]
+        del stack[depth:], numbers[depth:]
         if skip is not None and len(stack) <= skip:
             skip = None
 
@@ -122,9 +134,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if skip is None and is_boilerplate(tag, attributes, "article" in stack or "main" in stack):
             flush(BLOCK)
             skip = len(stack)
+        opened += 1
         stack.append(tag)
+        numbers.append(opened)
     say(page[at:])
-    stack.clear()
     flush()
     return out
 
@@ -132,9 +145,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str) -> str:
     """The kept lines of a page, joined by two line feeds; empty if none."""
     lines = lines_of(page)
-    if any(inside and line for line, _, inside in lines):
-        lines = [(line, 0, True) if inside else ("", 0, False) for line, _, inside in lines]
-    sizes = [0 if 2 * linked > len(line) else len(line) for line, linked, _ in lines]
+    part = max((inside for line, _, inside, _ in lines if line), default=0)
+    if part:
+        lines = [(line, 0, part, at) if inside == part else ("", 0, 0, 0) for line, _, inside, at in lines]
+    sizes = [0 if 2 * linked > len(line) else len(line) for line, linked, _, _ in lines]
     sums = [sum(sizes[i : i + BLOCK]) for i in range(len(sizes))]
     regions: list[tuple[int, int, int]] = []  # total, start, stop
     i = 0
@@ -147,8 +161,9 @@ def main_text(page: str) -> str:
             stop += 1
         regions.append((sum(sizes[i:stop]), i, stop))
         i = stop
-    most = max((r[0] for r in regions), default=0)
-    kept = [r for r in regions if r[0] == most or max(sums[r[1] : r[2]]) >= SURGE and (4 * r[0] >= most or lines[r[1]][2])]
+    most, first, last = max(regions, key=lambda r: r[0], default=(0, 0, 0))
+    holders = {lines[k][3] for k in range(first, last) if sizes[k]} - {0}
+    kept = [r for r in regions if part or r[1] == first or max(sums[r[1] : r[2]]) >= SURGE and 4 * r[0] >= most or holders & {lines[k][3] for k in range(r[1], r[2]) if sizes[k]}]
     return "\n\n".join(lines[k][0] for _, start, stop in kept for k in range(start, stop) if lines[k][0] and sizes[k])
 
 

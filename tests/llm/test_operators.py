@@ -174,6 +174,9 @@ def test_main_text_of_pages(spark):
     assert linedist.main_text(page.replace("<article>", "<div class='content with-sidebar'>").replace("</article>", "</div>")) == want
     assert linedist.main_text("") == linedist.main_text("<p> </p>") == "" and linedist.main_text("plain") == "plain"
     assert linedist.main_text("<p>a<b>b</b> c<br>d</p>") == "ab c d"
+    cut_off = page.replace("<!-- <p>hidden</p> -->", "<div class='share'>Share <a href=s>this</a></div><p>The end.</p><article class='comment-body'>So true.</article>")
+    for p in (cut_off, cut_off.replace("<article>", "<div id='story'>"), cut_off.replace("<article>", "<main>")):
+        assert linedist.main_text(p) == want + "\n\nThe end."
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (None, None, ""), (1, "u", page)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = linedist.extract(df).collect()
     assert sorted((g["page_id"] or 0, g["text"], g["n_chars"]) for g in got) == sorted([(1, want, len(want)), (2, "", 0), (0, "", 0), (1, want, len(want))])

@@ -6,9 +6,9 @@ with each identity term swapped for another of its kind, and the squared change
 of the log odds is penalised: the model can't lean on who is mentioned.
 
 Features are counted in Spark over a sample of at most about TRAIN_ROWS labelled
-texts, drawn by a hash of the id; of those that tell more than LEAST_TOLD (G
-test), the FEATURES that tell most are kept,
-and the sample's feature lists, not its texts, come to the driver for the fit.
+texts, drawn by a hash of the id and written once as sets of words; of those that
+tell more than LEAST_TOLD (G test), the FEATURES that tell most are kept, and the
+sample's feature lists, not its texts, come to the driver for the fit.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, importable, table
+from .common import held_out, importable, stored, table
 
 TRAIN_ROWS, FEATURES, LEAST_TEXTS, LEAST_TOLD, BEGINNINGS = 20_000, 2048, 4, 6.0, (4, 5, 6)
+SAMPLE_PARTS = 32
 STEPS, RATE, RIDGE, SWAP = 400, 0.1, 2e-4, 1.0
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,11 +51,18 @@ def words_of(text) -> set[str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """text, toxic of the sample; held-out rows are never in it."""
+    """doc_id, toxic and the set of words of each text of the sample; held-out
+    rows are never in it."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, train_rows / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about train_rows rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about train_rows rows
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "words": [sorted(words_of(t)) for t in b["text"]], "toxic": (b["toxic"] > 0).astype(int)})
+
+    return stored(texts.repartition(SAMPLE_PARTS, "doc_id").mapInPandas(held, "doc_id long, words array<string>, toxic int"), "labelled")
 
 
 def chosen_features(sample: DataFrame, most: int = FEATURES) -> list[str]:
@@ -63,15 +71,15 @@ def chosen_features(sample: DataFrame, most: int = FEATURES) -> list[str]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen = (Counter(), Counter())
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                seen[int(toxic > 0)].update({f for w in words_of(text) for f in features_of(w)})
+            for words, toxic in zip(b["words"], b["toxic"], strict=True):
+                seen[toxic].update({f for w in words for f in features_of(w)})
             names = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"feature": names, "clean": [seen[0][f] for f in names], "toxic": [seen[1][f] for f in names]})
 
     n = sample.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
     if not n["toxic"] or not n["clean"]:
         return []
-    found = sample.select("text", "toxic").mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where(F.col("a") + F.col("b") >= LEAST_TEXTS)
+    found = sample.select("words", "toxic").mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where(F.col("a") + F.col("b") >= LEAST_TEXTS)
     rate = (F.col("a") + F.col("b")) / (n["clean"] + n["toxic"])
 
     def part(have, of: int):  # of the G statistic: one class's texts with and without the feature
@@ -116,14 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     number = {f: i for i, f in enumerate(names)}
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def held(words: set[str]) -> list[int]:
+        def held(words) -> list[int]:
             return sorted({number[f] for w in words for f in features_of(w) if f in number})
 
         for b in batches:
-            words = [words_of(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "a": [held(w) for w in words], "b": [held({COUNTERPART.get(x, x) for x in w}) for w in words], "toxic": (b["toxic"] > 0).astype(int)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "a": [held(w) for w in b["words"]], "b": [held({COUNTERPART.get(x, x) for x in w}) for w in b["words"]], "toxic": b["toxic"]})
 
-    rows = sample.mapInPandas(lists, "doc_id long, a array<int>, b array<int>, toxic int").orderBy("doc_id").collect()  # about train_rows rows of feature numbers
+    rows = sorted(sample.mapInPandas(lists, "doc_id long, a array<int>, b array<int>, toxic int").collect())  # about train_rows rows of feature numbers
     w = fit([(r["a"], r["b"], r["toxic"]) for r in rows], len(names))
     return {f: float(x) for f, x in zip(names, w, strict=False) if x}, float(w[-1])
 

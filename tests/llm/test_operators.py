@@ -156,6 +156,42 @@ def test_simhash_of_texts(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_nearest_links_connect_what_is_near():
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**63, (40, simhash.WIDE), dtype=np.uint64)
+    codes = np.concatenate([base, *(base ^ (np.uint64(1) << r.integers(0, 64, base.shape, dtype=np.uint64)) for _ in range(4))])
+    d = np.bitwise_count(codes[:, None] ^ codes[None]).astype(int).sum(axis=2)
+    for limit in (0, 9, 16, 230):
+        i, j = simhash.nearest_links(codes, limit)
+        assert len(i) <= (simhash.NEAREST + 2) * len(codes) and (d[i, j] <= limit).all()
+        near = np.eye(len(codes), dtype=bool)
+        near[i, j] = near[j, i] = True
+        assert brute_components(near).tolist() == brute_components(d <= limit).tolist()
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_similar_texts_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "KEY_BLOCK", block)
+    monkeypatch.setattr(simhash, "SMALL_KEY", min(block, simhash.SMALL_KEY))
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [r.choice(words) for _ in range(60)]  # in many texts
+    texts = [" ".join([r.choice(words) for _ in range(r.randint(20, 200))] + passage * (i % 3 == 0)) for i in range(60)]
+    for i in range(90):  # near copies, 50 of them of one text
+        copy = texts[0 if i < 50 else i - 40].split()
+        for _ in range(1 + len(copy) // 60):
+            copy[r.randrange(len(copy))] = "new"
+        texts.append(" ".join(copy))
+    data = [*enumerate(texts), (500, None), (501, ""), (502, "one two"), (503, "one two"), (None, texts[0]), (7, texts[7])]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, similarity=0.8).collect() if x["doc_id"] is not None}
+    known = dict(d for d in data if d[0] is not None)
+    ids = sorted(known)
+    fps = {i: simhash.fingerprint(known[i], 5) for i in ids}
+    near = np.array([[(fps[a] ^ fps[b]).bit_count() <= 2 or simhash.jaccard(known[a], known[b], 5) >= 0.8 for b in ids] for a in ids])
+    assert [got[i] for i in ids] == [ids[c] for c in brute_components(near)]
+    assert near.sum() > len(ids) + 2 * 50
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(200, 260)] + [(7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))

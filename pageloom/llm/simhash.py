@@ -15,9 +15,9 @@ links are therefore joined by links between texts with a common key: a key names
 the KEPT smallest of a text's shingles in one of TABLES random orders, so two
 texts of similarity s share one with probability 1 - (1 - s**KEPT)**TABLES.  Among
 a key's texts, fingerprints of 512 bits over distinct shingles say which are as near
-as that similarity lets expect, with MARGIN standard errors; of those pairs each
-text's nearest, its best connected, and a forest that joins all are compared
-exactly, shingle set with shingle set.
+as that similarity lets expect, with MARGIN standard errors.  Forests over those pairs
+name families; inside a family every such pair is compared exactly, shingle set with
+shingle set, unless confirmed pairs already join the two.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, sketches: bool = False) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long; code, keys: sketch(), if wanted."""
+    """doc_id, fp: the fingerprint as a signed long; text_hash and code, keys: sketch(), if wanted."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,9 +99,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, sketches: bool = False) -> D
                 if sketches:
                     found.append(sketch(hashes))
             out = pd.DataFrame({"doc_id": pd.array(id_numbers(b["doc_id"]), "Int64"), "fp": fps.view(np.int64)})
-            yield out.assign(code=[c for c, _ in found], keys=[k for _, k in found]) if sketches else out
+            yield out.assign(text_hash=b["text_hash"], code=[c for c, _ in found], keys=[k for _, k in found]) if sketches else out
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long" + ", code binary, keys array<long>" * sketches)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, "doc_id long, fp long" + ", text_hash long, code binary, keys array<long>" * sketches)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,10 +225,9 @@ def code_limit(similarity: float) -> int:
 
 
 def nearest_links(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within limit: of each row its NEAREST rows and that with the most
-    rows near it (a copy may be nearer to other copies than to its original), and what
-    connects all rows that are near each other: each group of rows takes its nearest
-    row outside until none is within limit (Boruvka's minimum forest)."""
+    """Pairs of rows within limit that connect all rows that are near each other: of each
+    row its NEAREST rows, then each group of rows takes its nearest row outside until
+    none is within limit (Boruvka's minimum forest)."""
     groups, found, n = Groups(len(codes)), [], len(codes)
 
     def distances() -> Iterator[tuple[slice, np.ndarray]]:
@@ -241,10 +240,8 @@ def nearest_links(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray
             d[groups.of[q][:, None] == groups.of] = 64 * WIDE + 1
             yield q, d
 
-    degree = np.concatenate([(d <= limit).sum(axis=1) for _, d in distances()])
     for q, d in distances():
-        near = np.argpartition(d, min(NEAREST, n - 1), axis=1)[:, :NEAREST]
-        ends = np.concatenate([near, np.where(d <= limit, degree, -1).argmax(axis=1)[:, None]], axis=1)
+        ends = np.argpartition(d, min(NEAREST, n - 1), axis=1)[:, :NEAREST]
         i, k = np.nonzero(np.take_along_axis(d, ends, 1) <= limit)
         found.append((i + q.start, ends[i, k]))
     for i, j in found:
@@ -269,48 +266,87 @@ def jaccard(a: str | None, b: str | None, shingle: int) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def key_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of classes (fp, rep, code, keys) that share a key and seem near.
+def dealt_tasks(rows: DataFrame, by: str) -> DataFrame:
+    """rows (by, n, rep, ...) with the task of each, n being the rows of its group: groups
+    are cut into blocks, every two blocks meet in one task, small groups share tasks."""
+    tasks = max(1, -(-rows.where(F.col("n") <= SMALL_KEY).count() // TASK_ROWS))
+    blocks = F.ceil(F.col("n") / KEY_BLOCK).cast("int")
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).where((blocks == 1) | (F.col("block") != F.col("other")))
+    alone = F.format_string("%d-%d-%d", by, F.least("block", "other"), F.greatest("block", "other"))
+    return placed.withColumn("task", F.when(F.col("n") <= SMALL_KEY, F.pmod(F.xxhash64(by), F.lit(tasks)).cast("string")).otherwise(alone)).drop("n", "block", "other")
 
-    The texts of a key are dealt into blocks, and every two blocks of a key meet in
-    one task; keys of few texts share tasks.  Keys travel without codes until those
-    of a single text are gone.
-    """
-    keys = classes.select("fp", F.explode("keys").alias("key"))
+
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and stop of each run of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True)
+
+
+def key_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) that connect the classes (rep, code, keys) that share a key and seem
+    near.  Keys travel without codes until those of a single text are gone."""
+    keys = classes.select("rep", F.explode("keys").alias("key"))
     several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    common = stored(keys.join(several, "key"), "keys")
-    tasks = max(1, -(-common.where(F.col("n") <= SMALL_KEY).count() // TASK_ROWS))
-    blocks = F.ceil(F.col("n") / KEY_BLOCK).cast("int")
-    placed = common.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).where((blocks == 1) | (F.col("block") != F.col("other")))
-    alone = F.format_string("%d-%d-%d", "key", F.least("block", "other"), F.greatest("block", "other"))
-    placed = placed.select("fp", "key", F.when(F.col("n") <= SMALL_KEY, F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("string")).otherwise(alone).alias("task"))
+    placed = dealt_tasks(stored(keys.join(several, "key"), "keys"), "key")
     limit = code_limit(similarity)
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "rep"], kind="stable")
         reps, codes = rows["rep"].to_numpy(np.int64), np.frombuffer(b"".join(rows["code"]), "<u8").reshape(len(rows), WIDE)
-        starts = np.flatnonzero(np.diff(rows["key"].to_numpy(np.int64), prepend=rows["key"].iloc[0] - 1))
-        pairs = [(lo + i, lo + j) for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True) for i, j in [nearest_links(codes[lo:hi], limit)]]
+        pairs = [(lo + i, lo + j) for lo, hi in runs(rows["key"].to_numpy(np.int64)) for i, j in [nearest_links(codes[lo:hi], limit)]]
         u, v = (reps[np.concatenate([p[k] for p in pairs])] for k in (0, 1))
         return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).drop_duplicates()
 
-    return placed.join(classes.select("fp", "rep", "code"), "fp").groupBy("task").applyInPandas(linked, "u long, v long")
+    return placed.join(classes.select("rep", "code"), "rep").groupBy("task").applyInPandas(linked, "u long, v long")
+
+
+def alike_groups(sets: list[np.ndarray], codes: np.ndarray, fps: np.ndarray, limit: int, radius: int, similarity: float) -> np.ndarray:
+    """The group of each shingle set; all pairs within limit of the wide or radius of the
+    short fingerprints are compared exactly, unless compared pairs already join them."""
+    groups, sizes = Groups(len(sets)), np.array([len(s) for s in sets])
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    stops = np.cumsum(sizes)
+    mine = np.zeros(len(names), bool)
+    for i in np.flatnonzero(sizes):
+        rest = i + 1 + np.flatnonzero((groups.of[i + 1 :] != groups.of[i]) & (sizes[i + 1 :] > 0))
+        near = np.bitwise_count(codes[rest] ^ codes[i]).sum(axis=1, dtype=np.int64) <= limit
+        rest = rest[near | (distance(fps[rest], fps[i]) <= radius)]
+        if not len(rest):
+            continue
+        mine[ids[stops[i] - sizes[i] : stops[i]]] = True
+        step = max(1, PAIRS_AT_ONCE // int(sizes[rest].max()))
+        for lo in range(0, len(rest), step):
+            part = rest[lo : lo + step]
+            theirs = mine[np.concatenate([ids[stops[j] - sizes[j] : stops[j]] for j in part])]
+            both = np.add.reduceat(theirs, np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+            hit = part[both / (sizes[i] + sizes[part] - both) >= similarity]
+            groups.join(np.full(len(hit), i), hit)
+        mine[ids[stops[i] - sizes[i] : stops[i]]] = False
+    return groups.of
 
 
-def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of ids whose texts have that Jaccard similarity.  Of rows
-    with equal ids, the smallest text speaks for all."""
-    pairs = stored(pairs.where("u <> v").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+def confirmed(candidates: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect the classes (fp, rep, text_hash, code) whose texts have that
+    Jaccard similarity, of those that the candidates (u, v) connect."""
+    families = connected_components(candidates)
+    many = families.groupBy("component").agg(F.count("*").alias("n"))
+    members = classes.select("rep", "fp", "text_hash", "code").join(families.withColumnRenamed("node", "rep").join(many, "component"), "rep")
+    placed = stored(dealt_tasks(stored(members, "families"), "component"), "family-tasks")
+    asked = placed.select(F.col("rep").alias("doc_id"), "text_hash").distinct()
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(asked, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    limit = code_limit(similarity)
 
-    @F.pandas_udf("double")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype=float)
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["component", "rep"], kind="stable")
+        reps, fps = rows["rep"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
+        codes, texts, of = np.frombuffer(b"".join(rows["code"]), "<u8").reshape(len(rows), WIDE), rows["text"].tolist(), np.arange(len(rows))
+        for lo, hi in runs(rows["component"].to_numpy(np.int64)):
+            sets = [np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle)) for t in texts[lo:hi]]
+            of[lo:hi] = lo + alike_groups(sets, codes[lo:hi], fps[lo:hi], limit, radius, similarity)
+        joined = of != np.arange(len(of))
+        return pd.DataFrame({"u": reps[joined], "v": reps[of[joined]]})
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    return both.where(alike("a", "b") >= similarity).select("u", "v")
+    return placed.join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "text_hash"]).groupBy("task").applyInPandas(linked, "u long, v long")
 
 
 def near_classes(classes: DataFrame, radius: int = RADIUS, more: DataFrame | None = None) -> DataFrame:
@@ -329,9 +365,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, sim
     their fingerprints.  An empty table gives no rows.
     """
     fps = stored(fingerprints(docs, shingle, similarity is not None), "fingerprints")
-    sketches = [] if similarity is None else [F.min_by(c, "doc_id").alias(c) for c in ("code", "keys")]
+    sketches = [] if similarity is None else [F.min_by(c, F.struct("doc_id", "text_hash")).alias(c) for c in ("text_hash", "code", "keys")]
     classes = stored(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *sketches), "classes")
-    more = None if similarity is None else similar(key_links(classes, similarity), docs, shingle, similarity)
+    more = None if similarity is None else confirmed(key_links(classes, similarity), classes, docs, shingle, radius, similarity)
     found = near_classes(classes, radius, more).withColumnRenamed("node", "rep")
     of = classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = fps.select("doc_id", "fp").join(of, "fp", "left")

@@ -192,6 +192,18 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, block):
     assert near.sum() > len(ids) + 2 * 50
 
 
+def test_pairs_inside_a_family_just_below_the_similarity(spark):
+    r = random.Random(4)
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage, texts = own(304), []
+    for _ in range(300):  # 0.83 inside a couple, 0.75 beside it
+        couple = own(17)
+        texts += [" ".join(passage + couple + own(32)) for _ in range(2)]
+    assert simhash.jaccard(texts[0], texts[1], 5) > 0.8 > simhash.jaccard(texts[0], texts[2], 5)
+    got = dict(map(tuple, simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, similarity=0.8).select("doc_id", "component_id").collect()))
+    assert all(got[i] == got[i + 1] for i in range(0, 600, 2))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(200, 260)] + [(7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))

@@ -10,14 +10,15 @@ lost and no pair is emitted: a shard returns, for each linked class, the
 smallest class of its group there, and those edges go through components().
 
 Texts with a Jaccard similarity of 0.8 differ in about 10 of 64 bits; at that
-radius triangle bounds cut nothing off.  If a similarity is asked for, the trees'
-links are therefore joined by links between texts with a common key: a key names
+radius triangle bounds cut nothing off.  If a similarity is asked for, texts with a
+common key are therefore linked as well: a key names
 the KEPT smallest of a text's shingles in one of TABLES random orders, so two
 texts of similarity s share one with probability 1 - (1 - s**KEPT)**TABLES.  Among
 a key's texts, fingerprints of 512 bits over distinct shingles say which are as near
 as that similarity lets expect, with MARGIN standard errors.  Forests over those pairs
-name families; inside a family every such pair is compared exactly, shingle set with
-shingle set, unless confirmed pairs already join the two.
+and the trees' links name families; inside a family every pair near by either
+fingerprint is compared exactly, shingle set with shingle set, unless confirmed pairs
+already join the two.  Then only equal shingle sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -72,8 +73,8 @@ def mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
-    """(wide fingerprint, keys) of a text's distinct shingles; no keys without a word."""
+def sketch(hashes: np.ndarray) -> tuple[bytes, bytes, list[int]]:
+    """(hash of the set, wide fingerprint, keys) of a text's distinct shingles; no keys without a word."""
     import xxhash
 
     own = np.unique(hashes)
@@ -83,11 +84,11 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
         x = mixed(own, WIDE + t)
         least = np.sort(np.partition(x, KEPT - 1)[:KEPT] if len(x) > KEPT else x)
         keys.append(xxhash.xxh64_intdigest(least.astype("<u8").tobytes(), t) - 2**63)
-    return code, keys
+    return xxhash.xxh3_128_digest(own.astype("<u8").tobytes()), code, keys
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, sketches: bool = False) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long; text_hash and code, keys: sketch(), if wanted."""
+    """doc_id, fp: the fingerprint as a signed long; text_hash and set_hash, code, keys: sketch(), if wanted."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,9 +100,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, sketches: bool = False) -> D
                 if sketches:
                     found.append(sketch(hashes))
             out = pd.DataFrame({"doc_id": pd.array(id_numbers(b["doc_id"]), "Int64"), "fp": fps.view(np.int64)})
-            yield out.assign(text_hash=b["text_hash"], code=[c for c, _ in found], keys=[k for _, k in found]) if sketches else out
+            yield out.assign(text_hash=b["text_hash"], set_hash=[s for s, _, _ in found], code=[c for _, c, _ in found], keys=[k for _, _, k in found]) if sketches else out
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, "doc_id long, fp long" + ", text_hash long, code binary, keys array<long>" * sketches)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, "doc_id long, fp long" + ", text_hash long, set_hash binary, code binary, keys array<long>" * sketches)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -349,28 +350,36 @@ def confirmed(candidates: DataFrame, classes: DataFrame, docs: DataFrame, shingl
     return placed.join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "text_hash"]).groupBy("task").applyInPandas(linked, "u long, v long")
 
 
-def near_classes(classes: DataFrame, radius: int = RADIUS, more: DataFrame | None = None) -> DataFrame:
-    """(node, component) for the classes (fp, rep) that have a near one; more: further edges (u, v)."""
-    edges = tree_links(classes.select("fp", "rep"), radius)
-    return connected_components(edges if more is None else edges.unionByName(more))
+def near_classes(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, component) for the classes (fp, rep) that have a near one."""
+    return connected_components(tree_links(classes.select("fp", "rep"), radius))
+
+
+def alike_classes(classes: DataFrame, docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """(node, component) for the classes (fp, rep, text_hash, code, keys) that have one of
+    that Jaccard similarity, among those near by either fingerprint."""
+    by_fp = stored(classes.groupBy("fp").agg(F.min("rep").alias("rep")), "by-fingerprint")
+    equal = classes.select("fp", F.col("rep").alias("u")).join(by_fp.withColumnRenamed("rep", "v"), "fp").where("u <> v").select("u", "v")
+    candidates = key_links(classes, similarity).unionByName(tree_links(by_fp, radius)).unionByName(equal)
+    return connected_components(confirmed(candidates, classes, docs, shingle, radius, similarity))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row.
 
-    With a similarity, texts whose shingle sets are that similar link as well
+    With a similarity, only texts whose shingle sets are equal or that similar link
     (those that share no key, about 1 in 1000 at 0.8, do not).
     A null or wordless text has fingerprint 0.  Rows with a null doc_id link
     with nothing and have a null component; rows with equal ids are classes of
-    their fingerprints.  An empty table gives no rows.
+    their fingerprints (with a similarity, of their shingle sets).  An empty table gives no rows.
     """
     fps = stored(fingerprints(docs, shingle, similarity is not None), "fingerprints")
+    own = ["fp"] if similarity is None else ["fp", "set_hash"]
     sketches = [] if similarity is None else [F.min_by(c, F.struct("doc_id", "text_hash")).alias(c) for c in ("text_hash", "code", "keys")]
-    classes = stored(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *sketches), "classes")
-    more = None if similarity is None else confirmed(key_links(classes, similarity), classes, docs, shingle, radius, similarity)
-    found = near_classes(classes, radius, more).withColumnRenamed("node", "rep")
-    of = classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = fps.select("doc_id", "fp").join(of, "fp", "left")
+    classes = stored(fps.where("doc_id IS NOT NULL").groupBy(*own).agg(F.min("doc_id").alias("rep"), *sketches), "classes")
+    found = (near_classes(classes, radius) if similarity is None else alike_classes(classes, docs, shingle, radius, similarity)).withColumnRenamed("node", "rep")
+    of = classes.join(found, "rep", "left").select(*own, F.coalesce("component", "rep").alias("component_id"))
+    named = fps.select("doc_id", *own).join(of, own, "left")
     return named.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -204,6 +204,16 @@ def test_pairs_inside_a_family_just_below_the_similarity(spark):
     assert all(got[i] == got[i + 1] for i in range(0, 600, 2))
 
 
+def test_near_fingerprints_alone_do_not_link_when_a_similarity_is_asked(spark):
+    r = random.Random(6)
+    cycle = ["c1 c2 c3 c4 c5"] * 200
+    data = {i: " ".join(cycle + [f"t{r.randrange(10**9)}" for _ in range(20)]) for i in range(6)} | {9: " ".join(cycle + ["c1"])}
+    data[7] = data[3].upper()
+    assert len({simhash.fingerprint(t, 5) for t in data.values()}) == 1 and simhash.jaccard(data[0], data[1], 5) < 0.2
+    got = simhash.near_duplicates(spark.createDataFrame(list(data.items()), "doc_id long, text string"), 5, similarity=0.8).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: 3 if i == 7 else i for i in data}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(200, 260)] + [(7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))

@@ -5,15 +5,18 @@ the lines are summed over a sliding window of BLOCK lines; text begins where the
 sums surge and ends where they dive to nothing, and what stands between is kept.
 Elements that say what they are (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, hidden parts) leave a gap of BLOCK empty lines, so the
-distribution dives there.  If a page marks its article (else its main part), all
-other text counts as a gap, and every stretch left is kept.  Without such a mark, a
-short stretch stays if it stands in the same element as the longest.
+distribution dives there.  A short stretch stays if it stands in the same element as
+the longest.  The borders of an article (else of the main part) are gaps as well.  Only if
+one such part holds at least as much text as the densest stretch or element beside
+them does all other text count as a gap; the part of the longest stretch then counts
+as one element, other parts must surge themselves.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,11 +69,11 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
+def lines_of(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, characters of it in links, 2 in an article and 1 in the main part,
-    number of the element that holds it, 0 for the page) for each line; empty
-    lines are gaps."""
-    out: list[tuple[str, int, int, int]] = []
+    number of the element that holds it, 0 for the page, number of that article or
+    main part, 0 for none) for each line; empty lines are gaps."""
+    out: list[tuple[str, int, int, int, int]] = []
     stack: list[str] = []
     numbers: list[int] = []
     text: list[str] = []
@@ -83,8 +86,9 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
         inside = 2 if "article" in stack else int("main" in stack)
         if line:
             holder = next((n for t, n in zip(reversed(stack), reversed(numbers), strict=True) if t not in FLOW), 0)
-            out.append((line, min(links, len(line)), inside, holder))
-        out.extend([("", 0, inside, 0)] * gap)
+            part = next((n for t, n in zip(stack, numbers, strict=True) if t == ("", "main", "article")[inside]), 0)
+            out.append((line, min(links, len(line)), inside, holder, part))
+        out.extend([("", 0, inside, 0, 0)] * gap)
         text.clear()
         links = 0
 
@@ -142,15 +146,10 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def main_text(page: str) -> str:
-    """The kept lines of a page, joined by two line feeds; empty if none."""
-    lines = lines_of(page)
-    part = max((inside for line, _, inside, _ in lines if line), default=0)
-    if part:
-        lines = [(line, 0, part, at) if inside == part else ("", 0, 0, 0) for line, _, inside, at in lines]
-    sizes = [0 if 2 * linked > len(line) else len(line) for line, linked, _, _ in lines]
+def stretches(sizes: list[int]) -> list[tuple[int, int, int, int]]:
+    """(characters, largest window, start, stop) of each stretch between surge and dive."""
     sums = [sum(sizes[i : i + BLOCK]) for i in range(len(sizes))]
-    regions: list[tuple[int, int, int]] = []  # total, start, stop
+    out = []
     i = 0
     while i < len(sums):
         if not sizes[i]:
@@ -159,12 +158,47 @@ def main_text(page: str) -> str:
         stop = i
         while stop < len(sums) and sums[stop]:  # the dive: a whole window without text
             stop += 1
-        regions.append((sum(sizes[i:stop]), i, stop))
+        out.append((sum(sizes[i:stop]), max(sums[i:stop]), i, stop))
         i = stop
-    most, first, last = max(regions, key=lambda r: r[0], default=(0, 0, 0))
-    holders = {lines[k][3] for k in range(first, last) if sizes[k]} - {0}
-    kept = [r for r in regions if part or r[1] == first or max(sums[r[1] : r[2]]) >= SURGE and 4 * r[0] >= most or holders & {lines[k][3] for k in range(r[1], r[2]) if sizes[k]}]
-    return "\n\n".join(lines[k][0] for _, start, stop in kept for k in range(start, stop) if lines[k][0] and sizes[k])
+    return out
+
+
+def marked(lines: list[tuple[str, int, int, int, int]], sizes: list[int]) -> int:
+    """The mark to go by: 2 for articles, 1 for the main part and articles, 0 for none."""
+    for level in sorted({inside for line, _, inside, _, _ in lines if line} - {0}, reverse=True):
+        parts, beside = Counter(), Counter()
+        for (_, _, inside, holder, part), size in zip(lines, sizes, strict=True):
+            if inside >= level:
+                parts[part] += size
+            elif holder:
+                beside[holder] += size
+        alone = [0 if inside >= level else size for (_, _, inside, _, _), size in zip(lines, sizes, strict=True)]
+        densest = max([*beside.values(), *(total for total, *_ in stretches(alone))], default=0)
+        if max(parts.values()) >= densest:
+            return level
+    return 0
+
+
+def main_text(page: str) -> str:
+    """The kept lines of a page, joined by two line feeds; empty if none."""
+    lines, last = [], 0
+    for line in lines_of(page):
+        if line[0] and line[4] != last:
+            lines.extend([("", 0, 0, 0, 0)] * BLOCK)
+            last = line[4]
+        lines.append(line)
+    sizes = [0 if 2 * linked > len(line) else len(line) for line, linked, *_ in lines]
+    if level := marked(lines, sizes):
+        sizes = [len(line) if inside >= level else 0 for line, _, inside, _, _ in lines]
+    found = stretches(sizes)
+    most, _, first, last = max(found, key=lambda r: r[0], default=(0, 0, 0, 0))
+
+    def elements(start: int, stop: int) -> set[int]:
+        return {n for k in range(start, stop) if sizes[k] for n in (lines[k][3], lines[k][4] if level else 0)} - {0}
+
+    held = elements(first, last)
+    kept = [(start, stop) for total, peak, start, stop in found if start == first or peak >= SURGE and 4 * total >= most or held & elements(start, stop)]
+    return "\n\n".join(lines[k][0] for start, stop in kept for k in range(start, stop) if lines[k][0] and sizes[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:

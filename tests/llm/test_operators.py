@@ -241,6 +241,16 @@ def test_main_text_of_pages(spark):
     assert linedist.extract(df.limit(0)).count() == 0
 
 
+def test_article_marks_that_hold_less_than_the_text_beside_them():
+    body = "\n\n".join(f"Sentence {i} of the body. " + "word " * 30 + "end" for i in range(6))
+    text = "<div id='story'>" + "".join(f"<p>{p}</p>" for p in body.split("\n\n")) + "</div>"
+    for named in ("card", "user-comment", "teaser-box post"):
+        cards = f"<article class='{named}'><h3>Other post</h3><p>A few words on it.</p></article>" * 9
+        assert linedist.main_text(f"<html><body>{text}{cards}</body></html>") == body
+        assert linedist.main_text(f"<html><body><main>{text}</main>{cards}</body></html>") == body
+        assert linedist.main_text(f"<html><body><article><h1>Head</h1><div class='ad'>Buy</div>{text}</article>{cards}</body></html>") == "Head\n\n" + body
+
+
 def test_rotated_codes_find_every_link(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(900, 24)).astype(np.float32)

@@ -3,6 +3,7 @@ and long texts, ties, repeated rows, extra columns, and on empty tables."""
 
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -249,6 +250,105 @@ def test_article_marks_that_hold_less_than_the_text_beside_them():
         assert linedist.main_text(f"<html><body>{text}{cards}</body></html>") == body
         assert linedist.main_text(f"<html><body><main>{text}</main>{cards}</body></html>") == body
         assert linedist.main_text(f"<html><body><article><h1>Head</h1><div class='ad'>Buy</div>{text}</article>{cards}</body></html>") == "Head\n\n" + body
+    teasers = "<article>one</article><article>two</article>"
+    assert linedist.main_text(f"<html><body>{teasers}{text}</body></html>") == body
+    assert linedist.main_text(f"<html><body><div class='social-security-history'>{text}</div><div class='social-links'>Follow us</div></body></html>") == body
+
+
+class SlowLines(HTMLParser):
+    """Lines of a well-formed page of neutral names, an empty one for each div or section tag."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.open, self.text, self.linked = [], [], "", 0
+
+    def close_line(self, empty=False):
+        words = " ".join(self.text.split())
+        if words:
+            self.lines.append((words, len(words) - self.linked, tuple(self.open)))
+        if empty:
+            self.lines.append(("", 0, ()))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "a":
+            self.close_line(tag in ("div", "section", "article"))
+        self.open.append((tag, self.getpos(), len(self.lines)))
+
+    def handle_endtag(self, tag):
+        if tag != "a":
+            self.close_line(tag in ("div", "section", "article"))
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data) * any(t == "a" for t, *_ in self.open)
+
+
+def slow_main_text(page):
+    """The distribution by its definition: every line looks for the surges and dives around it."""
+    parser = SlowLines()
+    parser.feed(page)
+    parser.close_line()
+    lines = parser.lines
+    told = [t for _, t, _ in lines]
+    around = lambda ws, k: [sum(ws[max(0, i) : i + 3]) for i in range(k - 2, k + 1) if i >= 0]
+    parts, beside = {}, {}
+    for _, t, path in lines:
+        article = next((e for e in path if e[0] == "article"), None)
+        holder = next((e for e in reversed(path) if e[0] in ("div", "section", "article")), None)
+        where = parts if article else beside
+        where[article or holder] = where.get(article or holder, 0) + t
+    biggest = max(parts.values(), default=0)
+    if biggest and biggest >= max(beside.values(), default=0):
+        peak = max(sum(told[i : i + 3]) for i in range(len(told)))
+        told = [0 if not s else t + max(86, peak) if any(e[0] == "article" and 2 * parts[e] >= biggest for e in path[:]) else t / 4 for s, t, path in lines]
+    peak = max((sum(told[i : i + 3]) for i in range(len(told))), default=0)
+    need = max(min(86, peak), peak / 8)
+    surges = [any(x >= need > 0 for x in around(told, k)) and told[k] > 0 for k in range(len(told))]
+    kept = set()
+    for k in range(len(told)):
+        if surges[k]:
+            kept.add(k)
+            for step in (-1, 1):  # neighbours without an empty line between
+                i = k + step
+                while 0 <= i < len(told) and told[i]:
+                    kept.add(i)
+                    i += step
+            i = k + 1  # up to the next surge, if no window in between is empty
+            while i < len(told) and sum(told[i : i + 3]):
+                if surges[i]:
+                    kept.update(range(k, i))
+                    break
+                i += 1
+    return "\n\n".join(s for k, (s, _, _) in enumerate(lines) if k in kept and s)
+
+
+def test_the_distribution_against_a_slow_version_on_neutral_pages():
+    r = random.Random(11)
+    dropped = 0
+
+    def element(depth):
+        if depth and r.random() < 0.6:
+            tag = r.choice(["div", "section", "div", "article"] if depth > 2 else ["div", "section"])
+            return f"<{tag} class='k{r.randint(0, 9)}'>" + "".join(element(depth - 1) for _ in range(r.randint(1, 4))) + f"</{tag}>"
+        words = " ".join("w" * r.randint(1, 9) for _ in range(r.choice([1, 2, 4, 30])))
+        return f"<p><a href='x'>{words}</a></p>" if r.random() < 0.2 else f"<p>{words} &amp; {words}</p>"
+
+    for _ in range(400):
+        page = "".join(element(3) for _ in range(r.randint(1, 5)))
+        assert linedist.main_text(page) == slow_main_text(page), page
+        dropped += linedist.main_text(page) != "\n\n".join(k.text for k in linedist.lines_of(page) if k.text)
+    assert dropped > 100  # without the distribution the text would be another
+
+
+def test_the_distribution_alone_finds_the_article():
+    article = "<h1>On rivers</h1>" + "".join(f"<p>{'flow ' * n}end.</p>" for n in (40, 1, 30, 2, 60))
+    page = f"<body><div><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></div><div class='q'>Buy two boats.</div><div>{article}</div><div>&copy; rivers.example</div></body>"
+    want = "On rivers\n\n" + "\n\n".join("flow " * n + "end." for n in (40, 1, 30, 2, 60))
+    assert linedist.main_text(page) == want
+    everything = "\n\n".join(k.text for k in linedist.lines_of(page) if k.text)
+    assert everything.startswith("Home") and everything.endswith("rivers.example")
 
 
 def test_rotated_codes_find_every_link(spark):

@@ -106,19 +106,42 @@ def test_bounded_ring(spark, docs, empty):
     by = [[g["slot"] for g in got if g["shard"] == s] for s in range(5)]
     assert max(map(len, by)) - min(map(len, by)) <= 1 and all(sorted(b) == list(range(len(b))) for b in by)
     assert ring.shard(empty).count() == 0
-    # no key lies further clockwise than the first shard that had room when it came
+    # own keys first, then what overflows goes to the first shard clockwise that has room
     cells = [(b, a, n) for b in range(4) for a, n in ((0, 5), (1, 1), (2, 9))]
     order = [[0, 1, 2], [1, 2, 0], [2, 0, 1]]
     left, want = [20, 20, 20], []
-    for b, a, n in cells:
-        for i in range(n):
-            s = next(s for s in order[a] if left[s])
-            left[s] -= 1
-            want.append((b, a, i, s))
+    keys = [(b, a, i) for b, a, n in cells for i in range(n)]
+    for own in (True, False):
+        for b, a, i in [k for k in keys if own or k not in {w[:3] for w in want}]:
+            s = next((s for s in order[a][: 1 if own else 3] if left[s]), None)
+            if s is not None:
+                left[s] -= 1
+                want.append((b, a, i, s))
     plan = ring.fill(cells, order, 3, 60)
     assert want == [(b, a, i, s) for b, a, lo, hi, s, _ in plan for i in range(lo, hi)]
 
 
+def test_another_shard_moves_few_documents(spark):
+    n = 40_000
+    df = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 0 THEN 'the same text' ELSE concat('text ', id) END AS text")  # ties: 800 equal texts
+    place = dict(df.selectExpr("doc_id", f"pmod(xxhash64(text, 'text'), {ring.PLACES})").collect())
+    bare, bounded = [], []
+    for shards in (8, 9):
+        nodes = ring.ring(spark, shards, ring.VIRTUAL)
+        arc = dict(ring.arcs(nodes))
+        bare.append({d: nodes[arc[p]][1] for d, p in place.items()})
+        bounded.append(dict(ring.shard(df, shards).select("doc_id", "shard").collect()))
+        sizes = np.bincount(list(bounded[-1].values()))
+        assert len(sizes) == shards and sizes.max() - sizes.min() <= 1
+    moved = [d for d in range(n) if bare[0][d] != bare[1][d]]
+    assert all(bare[1][d] == 8 for d in moved) and 0.07 < len(moved) / n < 0.16  # only into the new shard, about a ninth
+    overflow = [sum(a[d] != b[d] for d in range(n)) / n for a, b in zip(bare, bounded, strict=True)]
+    share = sum(bounded[0][d] != bounded[1][d] for d in range(n)) / n
+    between = sum(bounded[0][d] != bounded[1][d] != 8 for d in range(n)) / n
+    print("moved", len(moved) / n, "overflow", overflow, "moved under the bounds", share, "between old shards", between)
+    assert share <= len(moved) / n + sum(overflow) and between <= sum(overflow) and max(overflow) < 0.08
+
+
 def brute_components(near: np.ndarray) -> np.ndarray:
     c = np.arange(len(near))
     while True:

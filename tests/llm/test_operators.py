@@ -185,18 +185,29 @@ def test_nearest_links_connect_what_is_near():
     base = r.integers(0, 2**63, (40, simhash.WIDE), dtype=np.uint64)
     codes = np.concatenate([base, *(base ^ (np.uint64(1) << r.integers(0, 64, base.shape, dtype=np.uint64)) for _ in range(4))])
     d = np.bitwise_count(codes[:, None] ^ codes[None]).astype(int).sum(axis=2)
+    small, parts = r.random(len(codes)) < 0.1, np.where(r.random(len(codes)) < 0.3, r.integers(0, 20, len(codes)), 1000 + np.arange(len(codes)))
     for limit in (0, 9, 16, 230):
-        i, j = simhash.nearest_links(codes, limit)
-        assert len(i) <= (simhash.NEAREST + 2) * len(codes) and (d[i, j] <= limit).all()
-        near = np.eye(len(codes), dtype=bool)
-        near[i, j] = near[j, i] = True
-        assert brute_components(near).tolist() == brute_components(d <= limit).tolist()
-
-
-@pytest.mark.parametrize("block", [4096, 16])
-def test_similar_texts_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "KEY_BLOCK", block)
-    monkeypatch.setattr(simhash, "SMALL_KEY", min(block, simhash.SMALL_KEY))
+        for few in (small, small & False):
+            near = (d <= limit) | (few[:, None] & few)
+            i, j = simhash.nearest_links(codes, few, np.arange(len(codes)), limit)
+            assert len(i) < 2 * len(codes) and near[i, j].all()
+            got = np.eye(len(codes), dtype=bool)
+            got[i, j] = got[j, i] = True
+            assert brute_components(got).tolist() == brute_components(near).tolist()
+            of = simhash.first_of(parts)  # joined before
+            i, j = simhash.nearest_links(codes, few, of, limit)
+            got = of[:, None] == of
+            want = brute_components(near | got)
+            got[i, j] = got[j, i] = True
+            assert brute_components(got).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize(("block", "deals"), [(4096, 2), (16, 2), (16, 0)])
+def test_similar_texts_against_brute_force(spark, monkeypatch, block, deals):
+    monkeypatch.setattr(simhash, "DEALS", deals)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SMALL", min(block, simhash.SMALL))
+    monkeypatch.setattr(simhash, "TURN", block)
     r = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
     passage = [r.choice(words) for _ in range(60)]  # in many texts
@@ -238,6 +249,33 @@ def test_near_fingerprints_alone_do_not_link_when_a_similarity_is_asked(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == {i: 3 if i == 7 else i for i in data}
 
 
+def test_short_texts_are_compared_whatever_their_bits(spark):
+    r = random.Random(12)
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    data = {}
+    for i in range(0, 400, 2):  # four shingles inside five
+        words = own(8)
+        data |= {i: " ".join(words), i + 1: " ".join([*words, *own(1)])}
+    assert simhash.jaccard(data[0], data[1], 5) == 0.8
+    got = dict(map(tuple, simhash.near_duplicates(spark.createDataFrame(list(data.items()), "doc_id long, text string"), 5, similarity=0.8).select("doc_id", "component_id").collect()))
+    assert sum(got[i] == got[i + 1] for i in range(0, 400, 2)) >= 196  # those that share a key
+
+
+def test_one_row_of_each_group_stays(spark, empty):
+    r = random.Random(13)
+    own = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    a, b, c = own(60), own(60), own(60)
+    near = a.rsplit(" ", 1)[0] + " other"
+    data = [(7, a), (7, b), (7, a), (7, a), (9, near), (None, near), (None, c), (None, c), (12, c), (13, None), (14, ""), (None, None), (3, b), (15, own(3)), (15, own(3))]
+    df = spark.createDataFrame([(*d, "x", i % 2, {"k": "v"}, 5) for i, d in enumerate(data)], "doc_id long, text string, component string, copies int, row map<string,string>, id long")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=key) == sorted([(7, a), (3, b), (12, c), (13, None), *data[-2:]], key=key)
+    again = simhash.keep_one(df.repartition(5))  # a shuffle before makes no difference
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+    assert simhash.keep_one(empty).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(200, 260)] + [(7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))

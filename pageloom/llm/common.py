@@ -26,9 +26,12 @@ def importable(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
+    """A fresh path in the folder that driver and executors share; only a session without
+    executors of its own, as in tests, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pageloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -50,6 +53,11 @@ def id_numbers(texts) -> list[int | None]:
     return [int(t) if isinstance(t, str) else None for t in texts]
 
 
+def drawn(doc_id: str, share) -> Column:
+    """Whether a row is in the training sample: that share of rows, by a hash of the id."""
+    return F.pmod(F.xxhash64(doc_id, F.lit("train")), F.lit(1 << 53)) < share * float(1 << 53)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

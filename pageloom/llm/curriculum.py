@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 PASSES = 3
 PREFIX = 3
@@ -51,28 +51,35 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, positions, key for every row.
+    """doc_id, size, source_size, target, taken, positions for every row.
 
     taken: words that the mix takes of the document, over all its passes;
     positions: for each pass with any words, its training position (0 to 1).
     Null texts have size 0 and are never taken.  A null source is a source of
-    its own; equal rows share one running sum in any order.
+    its own; equal rows share one running sum in any order; rows without an id are
+    ordered by their text.  An empty table gives no rows; other columns of the input,
+    whatever their names, are left out.
     """
+    return _mixed(docs.select("doc_id", "source", "text", F.lit(None).cast("long").alias("row"))).drop("row", "digest")
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """mix() of (doc_id, source, text, row), with row and the digest that orders rows."""
     sized = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest"),
-        F.col("__row") if "__row" in docs.columns else F.lit(None).cast("long").alias("__row"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))).cast("binary")).alias("digest"),
+        "row",
     ).withColumn("prefix", F.substring("digest", 1, PREFIX))
     cells = sized.groupBy("source", "prefix").agg(F.sum("size").alias("n"))
     want = targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")))
     earlier = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     cells = cells.join(want, cells["source"].eqNullSafe(want["source"])).drop(want["source"])
-    inside = Window.partitionBy("source", "prefix").orderBy("digest", "doc_id", "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "prefix").orderBy("digest", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     run = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(cells.alias("c"), F.expr("d.source <=> c.source AND d.prefix = c.prefix"))
-    run = run.select("d.doc_id", "d.__row", "d.digest", "size", "source_size", "slope", "target", (F.col("base") + F.col("inside")).alias("c"))
+    run = run.select("d.doc_id", "d.row", "d.digest", "size", "source_size", "slope", "target", (F.col("base") + F.col("inside")).alias("c"))
 
     def starts(k: int):  # words of demand before the document's pass k
         return F.col("c") + F.col("source_size") * k
@@ -86,15 +93,18 @@ def mix(docs: DataFrame) -> DataFrame:
 
     taken = sum((words(k) for k in range(1, PASSES)), words(0))
     due = F.filter(F.array(*[F.when(words(k) > 0, position(k)) for k in range(PASSES)]), lambda t: t.isNotNull())
-    return run.select("doc_id", "__row", "size", "source_size", "target", taken.alias("taken"), due.alias("positions"), "digest")
+    return run.select("doc_id", "row", "size", "source_size", "target", taken.alias("taken"), due.alias("positions"), "digest")
 
 
 def training_order(docs: DataFrame) -> DataFrame:
-    """The rows of docs, once for each pass that the mix takes of them, sorted
-    over all partitions by training position (ties: digest of the id)."""
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = mix(named).where("taken > 0").select("__row", F.explode("positions").alias("__position"), F.col("digest").alias("__digest"))
-    return named.join(taken, "__row").orderBy("__position", "__digest", "__row").select(*docs.columns)
+    """The rows of docs, with their columns, whatever their names, once for each pass that
+    the mix takes of them, sorted over all partitions by training position (ties: digest of
+    the id).  The rows are written once, so that both uses of them see the same numbers.
+    Rows with null or wordless texts are never taken; an empty table gives no rows."""
+    named = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    taken = _mixed(named.select("doc.doc_id", "doc.source", "doc.text", "row")).where("taken > 0")
+    due = taken.select("row", F.explode("positions").alias("position"), "digest")
+    return named.join(due, "row").orderBy("position", "digest", "row").select("doc.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

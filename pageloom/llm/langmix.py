@@ -1,10 +1,10 @@
 """Language identification by multilingual mixtures (operator 7).
 
 A document is a mixture of languages over hashed letter trigrams.  Expectation
-maximisation estimates its proportions; languages are then added to the set in
-order of their proportion as long as the likelihood, less a penalty for each
-language, grows.  The language with the largest share is the prediction, its
-share the score.
+maximisation estimates its proportions until they move by less than SETTLED;
+languages are then added to the set in order of their proportion as long as the
+likelihood, less a penalty for each language, grows.  The language with the largest
+share is the prediction, its share the score.
 
 Trigram models are counted in Spark from a sample of at most about TRAIN_DOCS
 whole documents of each language, drawn by a hash of the id.
@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, importable, table
+from .common import drawn, held_out, importable, table
 
-TRAIN_DOCS, BUCKETS, ROUNDS, PENALTY, NONE = 2000, 1 << 15, 12, 8.0, "und"
+TRAIN_DOCS, BUCKETS, SETTLED, PENALTY, NONE = 2000, 1 << 15, 1e-4, 8.0, "und"
 
 
 @lru_cache(1)
@@ -42,14 +42,17 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log likelihood of every bucket, (languages, BUCKETS)."""
+    """Languages and the log likelihood of every bucket, (languages, BUCKETS).
+
+    Held-out rows, null languages and null texts teach nothing; rows with a null id are
+    drawn together; repeated rows count as often as they occur; an empty table gives no
+    languages."""
     known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != NONE) & ~held_out())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, BUCKETS))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, train_docs / counts[lang]))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(langs), BUCKETS), np.int64)
@@ -60,20 +63,21 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
         lang, bucket = np.nonzero(total)
         yield pd.DataFrame({"lang": lang, "bucket": bucket, "n": total[lang, bucket]})
 
-    rows = known.where(drawn).select("lang", "text").mapInPandas(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages * BUCKETS rows
+    rows = known.where(drawn("doc_id", F.element_at(share, F.col("lang")))).select("lang", "text").mapInPandas(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages * BUCKETS rows
     table_ = np.full((len(langs), BUCKETS), 0.5)
     table_[rows["lang"], rows["bucket"]] += rows["n"]
     return langs, np.log(table_ / table_.sum(axis=1, keepdims=True))
 
 
-def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def mixture(p: np.ndarray, n: np.ndarray, settled: float = SETTLED) -> tuple[np.ndarray, float]:
     """Proportions of the rows of likelihoods p for counts n, and the log likelihood."""
     share = np.full(len(p), 1 / len(p))
-    for _ in range(rounds):
+    while True:
         joint = share[:, None] * p
-        share = joint @ (n / joint.sum(axis=0))
+        before, share = share, joint @ (n / joint.sum(axis=0))
         share /= share.sum()
-    return share, float(n @ np.log(share @ p))
+        if np.abs(share - before).max() < settled:
+            return share, float(n @ np.log(share @ p))
 
 
 def identify(text: str | None, langs: list[str], model: np.ndarray) -> tuple[str, float]:
@@ -102,26 +106,32 @@ def identify(text: str | None, langs: list[str], model: np.ndarray) -> tuple[str
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """docs with lang_pred and score; a null text, or one without letters, is NONE."""
-    kind = "struct<lang_pred:string,score:double>"
+    """row (the columns of docs, whatever their names), lang_pred and score for every row.
+
+    A null text, or one without letters, is NONE with score 0, and so is every text if no
+    language was learned.  Repeated rows and rows without an id are rows like any other; an
+    empty table gives no rows.
+    """
     model = model.astype(np.float32)
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table_ = model.astype(float)
         for b in batches:
             yield pd.DataFrame([identify(t if isinstance(t, str) else None, langs, table_) for t in b], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
     importable(docs.sparkSession)
-    return docs.withColumn("__found", predicted("text"))
+    return docs.select(F.struct("*").alias("row"), predicted("text").alias("found")).select("row", "found.*")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, *train(docs)).select("doc_id", held_out().alias("held_out"), "__found.lang_pred", "__found.score")
+    return predict(docs, *train(docs)).select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows whose text has a language, one that fills at least that share."""
-    found = predict(docs, *train(docs)).where((F.col("__found.lang_pred") != NONE) & (F.col("__found.score") >= least))
-    return found.select(*docs.columns)
+    """The rows whose text has a language, one that fills at least that share, with their
+    columns, whatever their names; null and letterless texts go, rows without an id and
+    repeated rows stay or go by their text, and an empty table gives no rows."""
+    found = predict(docs, *train(docs))
+    return found.where((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select("row.*")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_numbers, importable, table
+from .common import id_numbers, importable, stored, table
 from .tokens import encoder, vocabulary
 
 LENGTH = 2048
@@ -91,12 +91,14 @@ def pack(docs: DataFrame, vocab: str, cut: str, end_id: int, length: int = LENGT
 
     Null texts and empty texts are one end id.  Repeated rows are packed as
     often as they occur: groups are dealt by a hash of the document's place in
-    its partition, so equal ids do not meet in one group.  An empty table gives
-    no rows.
+    its partition, so equal ids do not meet in one group; the pieces are written with
+    that number once, so a task that runs again reads the same ones.  An empty table
+    gives no rows; other columns, whatever their names, are left out.
     """
     importable(docs.sparkSession)
-    groups = max(1, -(-docs.count() // group_docs))
-    grouped = cut_pieces(docs, vocab, cut, end_id, length).withColumn("group", F.pmod(F.xxhash64("salt"), F.lit(groups))).withColumn("text_id", F.col("doc_id").cast("string")).drop("doc_id")
+    pieces = stored(cut_pieces(docs, vocab, cut, end_id, length), "pieces")
+    groups = max(1, -(-pieces.where("start = 0").count() // group_docs))
+    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("salt"), F.lit(groups))).withColumn("text_id", F.col("doc_id").cast("string")).drop("doc_id")
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["text_id", "start", "salt"], kind="stable", na_position="first").reset_index(drop=True)

@@ -9,7 +9,8 @@ without decoding what stands before it.
 File format: a folder of Parquet files in ascending doc_id order.  A row is a
 segment of whole documents: part, segment, n_tokens, doc_ids, lengths, codes.
 `codes` is MAGIC, the number of ids and of levels, and per level its length and
-bytes, bitmap, and both directories.
+bytes, bitmap, and both directories.  The files have no block compression, so a token
+is read from the bytes as they lie on disk.
 """
 
 from __future__ import annotations
@@ -135,11 +136,39 @@ def write_codes(docs: DataFrame, path: str, vocab: str, cut: str, end_id: int, s
             yield row()
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    ordered.mapInPandas(segments, SEGMENTS).write.parquet(path)
+    ordered.mapInPandas(segments, SEGMENTS).write.option("compression", "none").parquet(path)
+
+
+def directory(files: DataFrame) -> DataFrame:
+    """part, segment, first (ids before it), n_tokens: a row for each segment."""
+    sizes = files.select("part", "segment", "n_tokens")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each written partition
+    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return sizes.join(base, "part").select("part", "segment", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("first"), "n_tokens")
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """position, token_id for the distinct `position`s, counted over the whole folder; null
+    positions and those outside it give no row.  The directory names the segment of each;
+    only those segments are read, and in them only the bytes of the positions' codes."""
+    cell = F.lit(SEGMENT_TOKENS)
+    spans = directory(spark.read.schema(SEGMENTS).parquet(path)).withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor((F.col("first") + F.col("n_tokens") - 1) / cell))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).distinct().withColumn("cell", F.floor(F.col("position") / cell))
+    found = asked.join(spans, "cell").where("first <= position AND position < first + n_tokens").select("part", "segment", "position", (F.col("position") - F.col("first")).alias("inside"))
+
+    def taken(rows: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:
+        ids = Codes(segment["codes"][0]).take(rows["inside"].to_numpy(np.int64)) if len(rows) else []
+        return pd.DataFrame({"position": rows["position"], "token_id": np.array(ids, np.int64)})
+
+    wanted = found.select(F.col("part").alias("p"), F.col("segment").alias("s")).distinct()
+    codes = spark.read.schema(SEGMENTS).parquet(path).select("part", "segment", "codes").join(wanted, F.expr("part = p AND segment = s"), "left_semi")
+    return found.groupBy("part", "segment").cogroup(codes.groupBy("part", "segment")).applyInPandas(taken, "position long, token_id long")
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32, from the files."""
+    """Per document: doc_id, start, n_tokens, ids_crc32, from the files; repeated rows as often
+    as they were written, a null doc_id as null.  Files of an empty table give no rows."""
     files = spark.read.schema(SEGMENTS).parquet(path)
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,11 +179,7 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(codes.run(int(s), int(e)).astype("<u4").tobytes()) for s, e in zip(starts, stops, strict=True)]
                 yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array(id_numbers(ids), "Int64"), "inside": starts, "n_tokens": lengths, "ids_crc32": crc})
 
-    sizes = files.select("part", "segment", "n_tokens")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each written partition
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    first = sizes.join(base, "part").select("part", "segment", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("first"))
+    first = directory(files).drop("n_tokens")
     rows = files.mapInPandas(documents, "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(first, ["part", "segment"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 

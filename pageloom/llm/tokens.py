@@ -2,8 +2,9 @@
 
 Texts in Latin script are cut into the same pieces as the tokenizer's own rule
 makes (see RULES), and a piece that is new to the worker goes through the
-tokenizer's model once.  Any other text is encoded in one call, so no rule here
-has to know the letters of other scripts.
+tokenizer's model once.  Any other text, and one that spells an added token such as
+an end mark, is encoded by the library in one call, so no rule here has to know the
+letters of other scripts.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.I).search
         self.model, self.known = self.tokenizer.model, {}
         self.cut, self.lower, self.letters = RULES[rule].findall, rule == "word", byte_letters()
 
@@ -61,7 +63,7 @@ class Encoder:
             self.known.clear()
         known, out, whole, long = self.known, [], {}, []
         for i, text in enumerate(texts):
-            if OTHER.search(text):
+            if OTHER.search(text) or self.added(text):
                 whole[i] = text
                 out.append(b"")
                 continue

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, importable, stored, table
+from .common import drawn, held_out, importable, stored, table
 
 TRAIN_ROWS, FEATURES, LEAST_TEXTS, LEAST_TOLD, BEGINNINGS = 20_000, 2048, 4, 6.0, (4, 5, 6)
 SAMPLE_PARTS = 32
@@ -55,8 +55,8 @@ def labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
     rows are never in it."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, train_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about train_rows rows
+    sample = known.where(drawn("doc_id", share))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about train_rows rows
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,8 +114,11 @@ def fit(rows: list[tuple[list[int], list[int], int]], n_features: int, swap: flo
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float], float]:
-    """(weight of each feature, constant); without both labels, no features."""
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, swap: float = SWAP) -> tuple[dict[str, float], float]:
+    """(weight of each feature, constant); without both labels, no features.
+
+    Held-out rows, null labels and labels without an id teach nothing; of several labels of
+    an id the largest counts; every row with a labelled id is a text of the sample."""
     importable(docs.sparkSession)
     sample = labelled(docs, labels, train_rows)
     names = chosen_features(sample)
@@ -131,12 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
             yield pd.DataFrame({"doc_id": b["doc_id"], "a": [held(w) for w in b["words"]], "b": [held({COUNTERPART.get(x, x) for x in w}) for w in b["words"]], "toxic": b["toxic"]})
 
     rows = sorted(sample.mapInPandas(lists, "doc_id long, a array<int>, b array<int>, toxic int").collect())  # about train_rows rows of feature numbers
-    w = fit([(r["a"], r["b"], r["toxic"]) for r in rows], len(names))
+    w = fit([(r["a"], r["b"], r["toxic"]) for r in rows], len(names), swap)
     return {f: float(x) for f, x in zip(names, w, strict=False) if x}, float(w[-1])
 
 
 def score(docs: DataFrame, weights: dict[str, float], constant: float) -> DataFrame:
-    """docs with __score (0 to 1); a null or empty text gets the constant's."""
+    """row (the columns of docs, whatever their names) and score (0 to 1) for every row.
+
+    A null or empty text gets the constant's score.  Repeated rows and rows without an id
+    are rows like any other; an empty table gives no rows.
+    """
     importable(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -157,15 +164,17 @@ def score(docs: DataFrame, weights: dict[str, float], constant: float) -> DataFr
                 known.clear()
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -60, 60))))
 
-    return docs.withColumn("__score", scored("text"))
+    return docs.select(F.struct("*").alias("row"), scored("text").alias("score"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, *train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier does not call toxic."""
-    return score(docs, *train(docs, labels)).where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    """The rows that the classifier does not call toxic, with their columns, whatever their
+    names; null and empty texts stay, repeated rows and rows without an id stay or go by
+    their text, and an empty table gives no rows."""
+    return score(docs, *train(docs, labels)).where(F.col("score") < THRESHOLD).select("row.*")

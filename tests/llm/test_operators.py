@@ -3,11 +3,13 @@ and long texts, ties, repeated rows, extra columns, and on empty tables."""
 
 import random
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pageloom.llm import curriculum, hnsw, langmix, linedist, packing, ring, rotcodes, simhash, token_codes, tokens, toxicity
 from pageloom.llm.common import connected_components, work_dir
@@ -45,8 +47,10 @@ def test_pieces_give_the_librarys_ids(name, rule):
     pool = "abcXYZ'sdtrevml  \t\n\r\x0b0123²½.,!*-—…éÉßŁıİªµº×÷ \u0085 日本́\x1c\x1f\x00'<|endoftext|>"
     texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(1500)] + ["a  b", " a ", "it's 'll 'LL", "", "x \n y", "<|endoftext|>"]
     e = tokens.Encoder(tokens.vocabulary(name), rule)
-    assert e(texts) == e._library(texts)
-    assert e(texts) == e._library(texts)  # from memory
+    plain = Tokenizer.from_file(tokens.vocabulary(name))  # as it comes, added tokens in a text included
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in [*texts, "a <|ENDOFTEXT|> b", "x<|startoftext|>y"]]
+    for _ in range(2):  # the second time from memory
+        assert e([*texts, "a <|ENDOFTEXT|> b", "x<|startoftext|>y"]) == want
 
 
 def test_codes_give_any_token_and_any_run():
@@ -72,8 +76,19 @@ def test_token_files(spark, docs, empty):
     assert [g[0] for g in got] == [w[0] for w in want]
     assert [g[1] for g in got] == np.cumsum([0, *[g[2] for g in got]]).tolist()[:-1]
     assert sorted((g[2], g[3]) for g in got) == sorted((len(w[1]) // 4, zlib.crc32(w[1])) for w in want)
+    ids = np.frombuffer(b"".join(e([d[1] or ""])[0] + np.array([2], "<u4").tobytes() for d in sorted(rows(), key=lambda d: (d[0] is not None, d[0] or 0))), "<u4")
+    lengths = [g[2] for g in got]
+    r = random.Random(15)
+    ask = [r.randrange(len(ids)) for _ in range(300)] + [0, len(ids) - 1, len(ids), -1, 10**15, None, 5, 5]
+    at = {x["position"]: x["token_id"] for x in token_codes.tokens_at(spark, path, spark.createDataFrame([(a,) for a in ask], "position long")).collect()}
+    assert at.keys() == {a for a in ask if a is not None and 0 <= a < len(ids)}
+    ends = set(np.cumsum(lengths) - 1)
+    assert all((at[a] == 2) == (a in ends) or ids[a] == 2 for a in at)
+    same = [a for a in at if got[int(np.searchsorted(np.cumsum(lengths), a, side="right"))][0] is not None]  # rows without an id stand in any order
+    assert len(same) > 250 and all(at[a] == ids[a] for a in same)
     token_codes.write_codes(empty, path + "e", vocab, "word", 2)
     assert token_codes.read_codes(spark, path + "e").count() == 0
+    assert token_codes.tokens_at(spark, path + "e", spark.range(3).toDF("position")).count() == 0
 
 
 def test_graph_search_finds_the_nearest(spark):
@@ -440,7 +455,7 @@ def test_language_mixtures(spark, empty):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").withColumn("score", F.lit("clash"))
     langs, model = langmix.train(df)
     assert langs == ["de", "en", "fr"]
-    got = {x["doc_id"]: x for x in langmix.predict(df, langs, model).select("doc_id", "__found.lang_pred", "__found.score").collect()}
+    got = {x["doc_id"]: x for x in langmix.predict(df, langs, model).select("row.doc_id", "lang_pred", "score").collect()}
     assert all(got[i]["lang_pred"] == ("en", "de", "fr")[i % 3] for i in range(240))
     assert got[1000]["lang_pred"] == "en" and 0.55 < got[1000]["score"] < 0.85
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1001, 1002, 1003)) and got[None]["lang_pred"] == "fr" and got[1004]["lang_pred"] == "de"
@@ -500,8 +515,18 @@ def test_curriculum(spark, docs, empty):
         assert own and all(abs(g["target"] - target[s]) < 1e-6 for g in own)
         assert sum(g["taken"] for g in own) == int(target[s])
     assert all(0 <= g["taken"] <= 3 * g["size"] and all(0 <= t < 1 for t in g["positions"]) and (len(g["positions"]) > 0) == (g["taken"] > 0) for g in got)
-    ordered = curriculum.training_order(docs)
-    assert ordered.columns == docs.columns and ordered.count() == sum(len(g["positions"]) for g in got)
+    clash = docs.withColumn("position", F.lit("p")).withColumn("row", F.lit(7)).withColumn("__digest", F.lit("d"))
+    for given in (clash, clash.repartition(5)):  # the rows themselves come back, each as often as it is taken, also after a shuffle
+        ordered = curriculum.training_order(given)
+        assert ordered.columns == clash.columns
+        out = [tuple(x) for x in ordered.collect()]
+        times = Counter()
+        for g in curriculum.mix(given).collect():
+            times[g["doc_id"]] += len(g["positions"])
+        assert Counter(x[0] for x in out) == +times and {x for x in out} <= {tuple(x) for x in clash.collect()}
+    at = {d: p for g in curriculum.mix(docs).collect() for d, p in [(g["doc_id"], g["positions"])]}
+    once = [d for d, p in at.items() if len(p) == 1 and times[d] == 1]
+    assert [at[x[0]][0] for x in out if x[0] in once] == sorted(at[d][0] for d in once)
     assert curriculum.mix(empty).count() == 0 and curriculum.training_order(empty).count() == 0
 
 
@@ -517,7 +542,7 @@ def test_toxicity(spark, docs, empty):
     df = spark.createDataFrame(data + [(9001, None), (9002, ""), (None, "idiot"), (9003, "loweinew trees"), (9004, "women like trees")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     lab = spark.createDataFrame(labels + [(1, None), (None, 1), (5, 1)], "doc_id long, toxic int")
     weights, constant = toxicity.train(df, lab)
-    got = {x["doc_id"]: x["__score"] for x in toxicity.score(df, weights, constant).collect()}
+    got = {x["row"]["doc_id"]: x["score"] for x in toxicity.score(df, weights, constant).collect()}
     assert all((got[i] >= 0.3) == (i % 5 == 0) for i in range(600))
     assert got[9001] == got[9002] < 0.3 and got[None] >= 0.3 and got[9003] >= 0.3 and got[9004] < 0.3
     kept = toxicity.keep_civil(df, lab)

@@ -2,42 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import curriculum, langmix, packing, simhash, toxicity
 from pageloom.llm.common import stored, table
 from pageloom.llm.tokens import vocabulary
 
+# In every stage rows without a doc_id and repeated rows are rows like any other, an empty
+# table gives no rows, and further columns, whatever their names, are kept but in the last.
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier calls toxic."""
+    """Drops documents that the classifier calls toxic; null and empty texts stay."""
     return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language that fills at least half of them."""
+    """Drops documents without a language that fills at least half of them, so null texts
+    and texts without a letter too."""
     return langmix.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each SimHash component, over shingles of five words and
-    with a similarity of 0.8: that with the smallest id, and of repeated ids one row;
-    documents without an id stay."""
-    kept = simhash.near_duplicates(docs, shingle=5, similarity=0.8).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    named = named.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    with a similarity of 0.8: that with the smallest id, rows without one last.  Rows with
+    one id stay unless their texts are near; null and wordless texts are one component."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents to meet their source's target, in training order."""
+    """Repeats or drops documents to meet their source's target, in training order; a null
+    source is one of its own, null and wordless texts are never taken."""
     return curriculum.training_order(docs)
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document's tokens in sequences of 2048."""
+    """Places every document's tokens in sequences of 2048; null and empty texts are one
+    end id, and a document is packed as often as it occurs."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), "byte", 1)
 
 

@@ -446,6 +446,39 @@ def test_rotated_codes_find_every_link(spark):
     assert rotcodes.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 100])
+def test_links_planted_in_many_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(rotcodes, "BLOCK", block)
+    r = np.random.default_rng(14)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(r.normal(size=(6000, 64)))
+    for k, cosine in enumerate(r.uniform(0.9505, 0.97, 1000)):  # couples a little above the threshold
+        side = r.normal(size=64)
+        side -= side @ x[k] * x[k]
+        x[2000 + k] = cosine * x[k] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    x[4000:4300] = unit(x[1500] + r.normal(size=(300, 64)) * 0.03)  # a group in which most link with most
+    x = x.astype(np.float32)
+    u = unit(x.astype(float))
+    near = u @ u.T >= 0.95
+    assert len(rotcodes.cell_levels(6000, 64)) == 1 and near.sum() > 6000 + 2 * 1000 + 300 * 100
+    of = brute_components(near)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {g["vec_id"]: g for g in rotcodes.near_vectors(df).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(6000)] == [(int(near[i].sum()) - 1, int(of[i])) for i in range(6000)]
+
+
+def test_tables_for_the_stated_miss():
+    r = np.random.default_rng(15)
+    for n, dim in ((50_000, 64), (10**9, 64), (10**6, 384)):
+        levels = rotcodes.cell_levels(n, dim)
+        tables = rotcodes.table_count(dim, levels, 0.95)
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in r.normal(size=(2, 2000, dim)))
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        same = rotcodes.cells(a, levels, tables) == rotcodes.cells(b, levels, tables)
+        assert same.any(axis=1).all() and tables < 70
+
+
 def test_language_mixtures(spark, empty):
     r = random.Random(7)
     words = {"en": "the of and this with from that".split(), "de": "der und nicht über schön ist ein".split(), "fr": "le qui était être avec une dans".split()}

@@ -1,6 +1,7 @@
 """The numbered operators against brute force, on small tables with nulls, empty
 and long texts, ties, repeated rows, extra columns, and on empty tables."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -496,6 +497,45 @@ def test_language_mixtures(spark, empty):
     assert langmix.predict(empty, *langmix.train(empty)).count() == 0
 
 
+def slow_identify(text, langs, model):
+    """The best penalised likelihood of all sets of languages, each estimated by many rounds."""
+    grams = langmix.trigrams(text)
+    if not len(grams):
+        return "und", 0.0
+    best = None
+    for size in range(1, len(langs) + 1):
+        for some in itertools.combinations(range(len(langs)), size):
+            p, share = np.exp(model[list(some)][:, grams]), np.full(size, 1 / size)
+            for _ in range(600 if size > 1 else 1):
+                joint = share[:, None] * p
+                share = (joint / joint.sum(axis=0)).mean(axis=1)
+            value = np.log(share @ p).sum() - langmix.PENALTY * np.log1p(len(grams)) * (size - 1)
+            if best is None or value > best[0]:
+                best = (value, langs[some[int(share.argmax())]], share.max())
+    return best[1:]
+
+
+def test_language_sets_against_all_sets():
+    r = random.Random(16)
+    letters = {"en": "etaoinshr thand ", "de": "enisrat dhulcß ch", "fr": "esaitnrulé qu ", "es": "eaosrnidl ción "}
+    words = {k: ["".join(r.choice(v.strip()) for _ in range(r.randint(2, 7))) for _ in range(60)] for k, v in letters.items()}
+    text = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    langs = sorted(words)
+    counts = np.full((len(langs), langmix.BUCKETS), 0.5)
+    for k, lang in enumerate(langs):
+        counts[k] += np.bincount(langmix.trigrams(text(lang, 4000)), minlength=langmix.BUCKETS)
+    model = np.log(counts / counts.sum(axis=1, keepdims=True))
+    texts = [text(r.choice(langs), r.randint(1, 80)) for _ in range(40)]
+    for _ in range(60):
+        a, b, c = r.sample(langs, 3)
+        n, m = r.randint(20, 120), r.randint(0, 60)
+        texts.append(" ".join([text(a, n), text(b, m), text(c, r.choice([0, 0, 30]))]))
+    got, want = ([f(t, langs, model) for t in texts] for f in (langmix.identify, slow_identify))
+    assert [g for g, _ in got] == [w for w, _ in want]
+    assert max(abs(g - w) for (_, g), (_, w) in zip(got, want, strict=True)) < 0.01  # shares of the set
+    assert sum(0.3 < w < 0.95 for _, w in want) > 25  # mixtures
+
+
 def test_first_fit_decreasing_by_tournament_tree():
     r = random.Random(8)
     for n in (0, 1, 2, 33, 400):
@@ -593,3 +633,43 @@ def test_swapped_terms_lose_weight():
         rows_.append((a, sorted({2 if x == 1 else x for x in a}), int(y)))
     free, tied = toxicity.fit(rows_, 3, swap=0.0), toxicity.fit(rows_, 3, swap=5.0)
     assert abs(tied[1] - tied[2]) < 0.35 * abs(free[1] - free[2]) and tied[0] > 1
+
+
+def test_the_fit_against_plain_descent():
+    r = np.random.default_rng(17)
+    y = (r.random(400) < 0.3).astype(int)
+    rows_ = []
+    for k in y:
+        a = [0] * (k and r.random() < 0.8) + [1] * (r.random() < (0.5 if k else 0.2)) + [3] * (r.random() < 0.5) + [4] * (r.random() < (0.1 if k else 0.4))
+        rows_.append((sorted(a), sorted({2 if f == 1 else f for f in a}), int(k)))
+    x, z = np.zeros((400, 6)), np.zeros((400, 6))
+    for i, (a, b, _) in enumerate(rows_):
+        x[i, a], z[i, b] = 1, 1
+    x[:, 5] = z[:, 5] = 1
+    swapped = (x != z).any(axis=1)
+    for swap in (0.0, 1.0):
+        w = np.zeros(6)
+        for _ in range(60_000):
+            miss = 1 / (1 + np.exp(-x @ w)) - y
+            g = x.T @ miss / 400 + toxicity.RIDGE * np.append(w[:-1], 0)
+            d = (x - z)[swapped]
+            w -= 0.1 * (g + 2 * swap * d.T @ (d @ w) / swapped.sum())
+        got = toxicity.fit(rows_, 5, swap)
+        assert np.abs(1 / (1 + np.exp(-x @ got)) - 1 / (1 + np.exp(-x @ w))).max() < 0.02
+
+
+def test_graph_search_over_several_whole_shards(spark):
+    r = np.random.default_rng(18)
+    centres = r.normal(size=(50, 24))
+    x = (centres[r.integers(0, 50, 18_000)] + r.normal(size=(18_000, 24)) * 0.6).astype(np.float32)  # three shards of the usual size
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for row in hnsw.nearest(df, F.col("vec_id") % 500 == 0).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    hits = 0
+    for q in range(0, 18_000, 500):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    print("recall", hits / 360)
+    assert hits >= 0.95 * 360

@@ -64,7 +64,7 @@ class Line(NamedTuple):
 
 def is_named_boilerplate(name: str, words: frozenset[str]) -> bool:
     """Whether every word of a class or id belongs to such a name, and one says it."""
-    parts = {p for p in re.split(r"[^a-z]+", name) if p}
+    parts = {p for p in re.split(r"[^a-z]+", name) if len(p) > 2 or p in words}
     beside = BESIDE_NAME | (CONTENT if parts & DISCUSSION else frozenset())
     return bool(parts & words) and parts <= words | beside
 

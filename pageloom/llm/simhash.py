@@ -72,9 +72,9 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def mixed(h: np.ndarray, turn: int) -> np.ndarray:
+def mixed(h: np.ndarray, turn: np.ndarray) -> np.ndarray:
     """Hashes shuffled anew for each turn (the finaliser of SplitMix64)."""
-    x = h + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = h + (turn + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -85,12 +85,15 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, int, bytes, list[int]]:
     import xxhash
 
     own = np.unique(hashes)
-    code = np.array([majority(mixed(own, k)) for k in range(WIDE)], "<u8").tobytes()
-    keys = []
-    for t in range(TABLES if len(own) else 0):
-        x = mixed(own, WIDE + t)
-        least = np.sort(np.partition(x, KEPT - 1)[:KEPT] if len(x) > KEPT else x)
-        keys.append(xxhash.xxh64_intdigest(least.astype("<u8").tobytes(), t) - 2**63)
+    counts, least = np.zeros(64 * WIDE, np.int64), np.zeros((0, TABLES), np.uint64)
+    for lo in range(0, len(own), 1 << 14):
+        x = mixed(own[lo : lo + (1 << 14), None], np.arange(WIDE + TABLES, dtype=np.uint64))
+        counts += np.unpackbits(np.ascontiguousarray(x[:, :WIDE]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.concatenate([least, x[:, WIDE:]])
+        least = np.partition(least, KEPT - 1, axis=0)[:KEPT] if len(least) > KEPT else least
+    code = np.packbits(2 * counts > len(own), bitorder="little").tobytes()
+    least = np.sort(least, axis=0).T.astype("<u8")
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), t) - 2**63 for t, row in enumerate(least)] if len(own) else []
     return xxhash.xxh3_128_digest(own.astype("<u8").tobytes()), len(own), code, keys
 
 

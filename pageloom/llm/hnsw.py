@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by sharded navigable small-world graphs (operator 2).
 
-Vectors are dealt into shards of bounded size by a hash of their id.  A task
+Vectors are dealt into shards of bounded size by a hash of their id: a shard for each
+PARTS-th of the table, of SHARD vectors at least and MOST at most.  A task
 builds a shard's hierarchy: a node's top level comes from a hash of its id, each
 level is a graph stored as one flat array of neighbour numbers, and nodes enter
 a level in batches that are searched together.  The index is written to the
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import finite_vector, importable, stored, table
 
-SHARD, QUERY_BLOCK = 8192, 4096
+SHARD, MOST, PARTS, QUERY_BLOCK = 8192, 32768, 64, 4096
 LINKS, BASE_LINKS, BUILD_WIDTH, SEARCH_WIDTH, BATCH, STEP = 16, 32, 96, 160, 256, 4
 
 
@@ -163,10 +164,11 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return f.getvalue()
 
 
-def index(nodes: DataFrame, shard_size: int = SHARD) -> DataFrame:
+def index(nodes: DataFrame, shard_size: int | None = None) -> DataFrame:
     """shard, graph from nodes (vec_id, embedding, members): one row a shard.
     Vectors of different lengths never share a shard."""
-    shards = max(1, -(-nodes.count() // shard_size))
+    n = nodes.count()
+    shards = max(1, -(-n // (shard_size or min(MOST, max(SHARD, n // PARTS)))))
 
     def graph(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
@@ -208,7 +210,7 @@ def ask(graph: bytes, ids: np.ndarray, q: np.ndarray, k: int, width: int) -> Ite
         yield own[top], who[top], d[top]
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, shard_size: int = SHARD, width: int = SEARCH_WIDTH) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, shard_size: int | None = None, width: int = SEARCH_WIDTH) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row.
 
     Vectors null, zero or holding null or non-finite parts take no part, nor

@@ -215,7 +215,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, shard_size: int | None =
 
     Vectors null, zero or holding null or non-finite parts take no part, nor
     does a null vec_id; equal rows count once; an empty table gives no rows;
-    fewer candidates give fewer rows.
+    fewer candidates give fewer rows; other columns, whatever their names, are left out.
     """
     spark = vectors.sparkSession
     importable(spark)

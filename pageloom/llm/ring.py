@@ -85,7 +85,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, buckets
     A null text has size 1, crc32 0 and one place on the ring.  Rows with equal ids and
     texts take their slots in any order; rows without an id arrive in the order of the
     input's partitions.  grown_shard is null: under this law a new shard also moves the
-    bounds of the others.  An empty table gives no rows.
+    bounds of the others.  An empty table gives no rows; other columns, whatever their
+    names, are left out.
     """
     spark = docs.sparkSession
     nodes = ring(spark, shards, virtual)

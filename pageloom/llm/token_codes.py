@@ -167,8 +167,9 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32, from the files; repeated rows as often
-    as they were written, a null doc_id as null.  Files of an empty table give no rows."""
+    """Per document: doc_id, start, n_tokens, ids_crc32, and its first and last id, taken at
+    their positions; all from the files.  Repeated rows as often as they were written, a
+    null doc_id as null.  Files of an empty table give no rows."""
     files = spark.read.schema(SEGMENTS).parquet(path)
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,11 +178,11 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                 codes, stops = Codes(data), np.cumsum(lengths)
                 starts = stops - lengths
                 crc = [zlib.crc32(codes.run(int(s), int(e)).astype("<u4").tobytes()) for s, e in zip(starts, stops, strict=True)]
-                yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array(id_numbers(ids), "Int64"), "inside": starts, "n_tokens": lengths, "ids_crc32": crc})
+                yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array(id_numbers(ids), "Int64"), "inside": starts, "n_tokens": lengths, "ids_crc32": crc, "first_id": codes.take(starts).astype(np.int64), "last_id": codes.take(stops - 1).astype(np.int64)})
 
     first = directory(files).drop("n_tokens")
-    rows = files.mapInPandas(documents, "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return rows.join(first, ["part", "segment"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    rows = files.mapInPandas(documents, "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long, first_id long, last_id long")
+    return rows.join(first, ["part", "segment"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "first_id", "last_id")
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,8 @@ def test_codes_give_any_token_and_any_run():
 def test_token_files(spark, docs, empty):
     path, vocab = work_dir(spark, "t"), tokens.vocabulary("word_bpe_49k.json")
     token_codes.write_codes(docs, path, vocab, "word", 2, segment_tokens=1000)
-    got = sorted(map(tuple, token_codes.read_codes(spark, path).collect()), key=lambda x: x[1])
+    got_rows = token_codes.read_codes(spark, path).collect()
+    got = sorted(map(tuple, got_rows), key=lambda x: x[1])
     e = tokens.Encoder(vocab, "word")
     want = sorted(((d[0], e([d[1] or ""])[0] + np.array([2], "<u4").tobytes()) for d in rows()), key=lambda x: (x[0] is not None, x[0] or 0))
     assert [g[0] for g in got] == [w[0] for w in want]
@@ -87,6 +88,7 @@ def test_token_files(spark, docs, empty):
     assert all((at[a] == 2) == (a in ends) or ids[a] == 2 for a in at)
     same = [a for a in at if got[int(np.searchsorted(np.cumsum(lengths), a, side="right"))][0] is not None]  # rows without an id stand in any order
     assert len(same) > 250 and all(at[a] == ids[a] for a in same)
+    assert all(g["last_id"] == 2 and (g[0] is None or g["first_id"] == ids[g["start"]]) for g in got_rows)
     token_codes.write_codes(empty, path + "e", vocab, "word", 2)
     assert token_codes.read_codes(spark, path + "e").count() == 0
     assert token_codes.tokens_at(spark, path + "e", spark.range(3).toDF("position")).count() == 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 # Letters and numbers below U+0250, and the cut rules over them.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -33,6 +34,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class Pieces(dict):
+    """The ids of pieces; those of a new one are asked for, and kept unless it is long."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids_of(piece)
+        if len(piece) <= LONGEST_PIECE:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """texts -> ids as little-endian unsigned 32-bit integers.
 
@@ -46,7 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)", re.I).search
-        self.model, self.known = self.tokenizer.model, {}
+        self.model, self.known = self.tokenizer.model, Pieces(self._piece)
         self.cut, self.lower, self.letters = RULES[rule].findall, rule == "word", byte_letters()
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -59,22 +75,13 @@ class Encoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-        known, out, whole, long = self.known, [], {}, []
+        ids_of, out, whole = self.known.__getitem__, [], {}
         for i, text in enumerate(texts):
             if OTHER.search(text) or self.added(text):
                 whole[i] = text
                 out.append(b"")
                 continue
-            pieces = self.cut(text.lower() if self.lower else text)
-            for p in set(pieces).difference(known):
-                known[p] = self._piece(p)
-                if len(p) > LONGEST_PIECE:
-                    long.append(p)
-            out.append(b"".join(map(known.__getitem__, pieces)))
-        for p in long:
-            known.pop(p, None)
+            out.append(b"".join(map(ids_of, self.cut(text.lower() if self.lower else text))))
         for i, ids in zip(whole, self._library(list(whole.values())), strict=True):
             out[i] = ids
         return out

@@ -54,6 +54,14 @@ def test_pieces_give_the_librarys_ids(name, rule):
         assert e([*texts, "a <|ENDOFTEXT|> b", "x<|startoftext|>y"]) == want
 
 
+def test_pieces_known_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PIECES", 3)
+    known = tokens.Pieces(str.encode)
+    words = "a b c d a e " + "x" * 49 + " b"
+    assert [known[w] for w in words.split()] == [w.encode() for w in words.split()]
+    assert len(known) <= 3 and "x" * 49 not in known
+
+
 def test_codes_give_any_token_and_any_run():
     r = np.random.default_rng(2)
     for n in (0, 1, 7, 64, 511, 512, 513, 5000):

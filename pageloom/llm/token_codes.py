@@ -104,6 +104,21 @@ class Codes:
         return out
 
 
+def checksums(codes: Codes, stops: np.ndarray) -> list[int]:
+    """The CRC-32 of the ids of each document, which end at stops, read in long runs."""
+    out, at, low, high, ids = [], 0, 0, 0, memoryview(b"")
+    for stop in stops.tolist():
+        crc = 0
+        while at < stop:
+            if at == high:
+                low, high = at, min(codes.n, at + SEGMENT_TOKENS)
+                ids = memoryview(codes.run(low, high).astype("<u4", copy=False)).cast("B")
+            end = min(stop, high)
+            crc, at = zlib.crc32(ids[4 * (at - low) : 4 * (end - low)], crc), end
+        out.append(crc)
+    return out
+
+
 def write_codes(docs: DataFrame, path: str, vocab: str, cut: str, end_id: int, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes (doc_id, text) and writes the segments to path.
 
@@ -177,8 +192,7 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
             for part, segment, ids, lengths, data in zip(b["part"], b["segment"], b["doc_ids"], b["lengths"], b["codes"], strict=True):
                 codes, stops = Codes(data), np.cumsum(lengths)
                 starts = stops - lengths
-                crc = [zlib.crc32(codes.run(int(s), int(e)).astype("<u4").tobytes()) for s, e in zip(starts, stops, strict=True)]
-                yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array(id_numbers(ids), "Int64"), "inside": starts, "n_tokens": lengths, "ids_crc32": crc, "first_id": codes.take(starts).astype(np.int64), "last_id": codes.take(stops - 1).astype(np.int64)})
+                yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array(id_numbers(ids), "Int64"), "inside": starts, "n_tokens": lengths, "ids_crc32": checksums(codes, stops), "first_id": codes.take(starts).astype(np.int64), "last_id": codes.take(stops - 1).astype(np.int64)})
 
     first = directory(files).drop("n_tokens")
     rows = files.mapInPandas(documents, "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long, first_id long, last_id long")

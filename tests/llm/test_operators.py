@@ -62,6 +62,15 @@ def test_pieces_known_are_bounded(monkeypatch):
     assert len(known) <= 3 and "x" * 49 not in known
 
 
+def test_checksums_of_documents_longer_than_a_run(monkeypatch):
+    monkeypatch.setattr(token_codes, "SEGMENT_TOKENS", 64)
+    r = np.random.default_rng(3)
+    for lengths in ([], [1], [64, 64], [5, 300, 1, 59, 7]):
+        ids = r.integers(0, 1 << 17, sum(lengths)).astype("<u4")
+        parts = np.split(ids, np.cumsum(lengths)[:-1]) if lengths else []
+        assert token_codes.checksums(token_codes.Codes(token_codes.encode_codes(ids)), np.cumsum(lengths, dtype=int)) == [zlib.crc32(p.tobytes()) for p in parts]
+
+
 def test_codes_give_any_token_and_any_run():
     r = np.random.default_rng(2)
     for n in (0, 1, 7, 64, 511, 512, 513, 5000):
